@@ -1,0 +1,70 @@
+"""Cutting texts into chunks that a byte-level pre-tokenizer treats independently.
+
+A pre-token begins with at most one space and holds no other white space beside other characters, so a text may be cut
+before any space that stands between two characters that aren't white space. Equal chunks are then encoded once.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+
+_WIDE = r"\s\x1c-\x1f\x85᠎​-‏⁠﻿"
+_CUT = re.compile(rf"(?<=[^{_WIDE}])(?= [^{_WIDE}])")
+
+
+def chunks_of(text: str) -> list[str]:
+    """The chunks in order; joined they give the text."""
+    if not text:
+        return []
+    if len(text.split()) == text.count(" ") + text.count("\n") + 1 and "\x01" not in text:
+        return text.replace(" ", "\x01 ").split("\x01")  # single spaces and line ends, none beside another
+    return _CUT.split(text)
+
+
+class ChunkTable:
+    """Ids by chunk. encode_new takes the chunks not seen yet and returns a list of ids for each; the table is emptied between calls once it holds `limit` chunks."""
+
+    def __init__(self, encode_new: Callable[[list[str]], list[list[int]]], limit: int = 500_000):
+        self.encode_new, self.limit = encode_new, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of all texts in one array and each text's bounds in it."""
+        if len(self.at) > self.limit:
+            self._clear()
+        at, known = self.at, len(self.at)
+        rows: list[int] = []
+        bounds = [0]
+        for text in texts:
+            for c in chunks_of(text or ""):
+                i = at.get(c)
+                if i is None:
+                    i = at[c] = len(at)
+                rows.append(i)
+            bounds.append(len(rows))
+        if len(at) > known:
+            new = list(at)[known:]
+            ids = self.encode_new(new)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum()))
+            starts = len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat, self.starts, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        index = np.array(rows, np.int64)
+        sizes = self.sizes[index] if len(index) else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        gather = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        gather += np.repeat(self.starts[index] - (ends - sizes), sizes) if len(index) else 0
+        offsets = np.concatenate([[0], ends])[np.array(bounds)]
+        return self.flat[gather], offsets
+
+
+def id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
