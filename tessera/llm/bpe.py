@@ -12,6 +12,8 @@ which are replaced. Repeated rows stay repeated, an empty table gives an empty t
 from __future__ import annotations
 
 import base64
+from array import array
+from collections import defaultdict
 from collections.abc import Callable
 from heapq import heappop, heappush
 
@@ -20,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
-from .chunks import ChunkTable, id_lists
+from .chunks import ChunkTable, gather, id_lists
 from .common import map_columns
 
 #: Distinct pre-tokens replayed together; bounds a task's memory.
-REPLAY_WORDS = 150_000
+REPLAY_WORDS = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,34 +41,40 @@ class MergeReplay:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs: dict[int, int] = {}
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
-        rest = []
-        for i, w in enumerate(words):
-            r = self.ranks.get(w)
-            if r is None:
-                rest.append(i)
-            else:
-                out[i] = [r]
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes): where each word's ids stand."""
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        rest = np.flatnonzero(whole < 0)
+        parts, sizes, starts = [whole], np.ones(len(words), np.int64), np.arange(len(words))
+        at = len(words)
         for k in range(0, len(rest), REPLAY_WORDS):
             part = rest[k : k + REPLAY_WORDS]
-            for i, ids in zip(part, self._replay([words[i] for i in part]), strict=True):
-                out[i] = ids
-        return out
+            flat, n = self._replay([words[i] for i in part.tolist()])
+            sizes[part], starts[part] = n, at + np.cumsum(n) - n
+            parts.append(flat)
+            at += len(flat)
+        return np.concatenate(parts), starts, sizes
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks of the tokens that pairs of ids make, or -1; an id of -1 makes none."""
+        keys = left << 20 | right
+        if len(keys) > 48:
+            keys, back = np.unique(keys, return_inverse=True)
+        else:
+            back = None
         known, out = self.pairs, []
-        for key in (left << 20 | right).tolist():
+        for key in keys.tolist():
             r = known.get(key)
             if r is None:
-                if len(known) > 1_000_000:
+                if len(known) > 500_000:
                     known.clear()
                 r = known[key] = -1 if key < 0 else self.ranks.get(self.token[key >> 20] + self.token[key & 0xFFFFF], -1)
             out.append(r)
-        return np.array(out, np.int64)
+        found = np.array(out, np.int64)
+        return found if back is None else found[back]
 
-    def _replay(self, words: list[bytes]) -> list[list[int]]:
+    def _replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words, how many each has)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         n = int(ends[-1]) if len(ends) else 0
@@ -113,28 +121,28 @@ class MergeReplay:
                 if chained.any():  # of overlapping pairs every other one, from the left
                     i = np.arange(len(at))
                     at = at[(i - np.maximum.accumulate(np.where(np.append(True, ~chained), i, 0))) % 2 == 0]
-                after = self._ranks(np.full(len(at), rank), ids[nxt[nxt[at]]])
-                before = self._ranks(ids[prv[at]], np.full(len(at), rank))
                 twice = word[at[1:]] == word[at[:-1]]
-                if twice.any() and (((after >= 0) & (after < rank)) | ((before >= 0) & (before < rank))).any():
-                    index[rank] = [at[1:][twice]]  # a lower rank may come up in these words first
-                    heappush(heap, rank)
-                    at = at[np.append(True, ~twice)]
+                if twice.any():
+                    some = at[np.append(twice, False) | np.append(False, twice)]
+                    new = self._ranks(np.concatenate([np.full(len(some), rank), ids[prv[some]]]), np.concatenate([ids[nxt[nxt[some]]], np.full(len(some), rank)]))
+                    if ((new >= 0) & (new < rank)).any():
+                        index[rank] = [at[1:][twice]]  # a lower rank may come up in these words first
+                        heappush(heap, rank)
+                        at = at[np.append(True, ~twice)]
             gone = nxt[at]
             after = nxt[gone]
             ids[at], ids[gone], pair[gone] = rank, -1, -1
             nxt[at], prv[after] = after, at
             ids[n], pair[n] = -1, -1
             before = prv[at]
-            new_right = self._ranks(np.full(len(at), rank), ids[after])
-            new_left = self._ranks(ids[before], np.full(len(at), rank))
-            pair[at], pair[before] = new_right, new_left
+            same = np.full(len(at), rank)
+            new = self._ranks(np.concatenate([same, ids[before]]), np.concatenate([ids[after], same]))
+            pair[at], pair[before] = new[: len(at)], new[len(at) :]
             pair[n] = -1
-            enter(np.concatenate([at, before]), np.concatenate([new_right, new_left]))
+            enter(np.concatenate([at, before]), new)
         live = ids[:n] >= 0
-        flat = ids[:n][live].tolist()
-        cut = np.append(0, np.cumsum(live))[np.append(0, ends)].tolist()
-        return [flat[a:b] for a, b in zip(cut, cut[1:])]
+        counts = np.append(0, np.cumsum(live))[np.append(0, ends)]
+        return ids[:n][live], np.diff(counts)
 
 
 def encoder(path: str, pattern: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
@@ -143,11 +151,17 @@ def encoder(path: str, pattern: str) -> Callable[[list[str | None]], tuple[np.nd
 
     replay, split = MergeReplay(load_ranks(path)), regex.compile(pattern).findall
 
-    def encode_new(chunks: list[str]) -> list[list[int]]:
-        pieces = [split(c) for c in chunks]
-        words = {w: None for p in pieces for w in p}
-        ids = dict(zip(words, replay.encode([w.encode() for w in words]), strict=True))
-        return [[x for w in p for x in ids[w]] for p in pieces]
+    def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at: defaultdict[str, int] = defaultdict()
+        at.default_factory = at.__len__
+        rows, counts = array("i"), []
+        for c in chunks:
+            found = split(c)
+            counts.append(len(found))
+            rows.extend(map(at.__getitem__, found))
+        flat, ends = gather(*replay.encode([w.encode() for w in at]), np.frombuffer(rows, np.int32))
+        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return flat, cut[:-1], np.diff(cut)
 
     return ChunkTable(encode_new).encode
 

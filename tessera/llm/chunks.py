@@ -7,7 +7,10 @@ before any space that stands between two characters that aren't white space. Equ
 from __future__ import annotations
 
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,45 +28,47 @@ def chunks_of(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces flat[starts[i] : starts[i] + sizes[i]] for i in index, one after another; where each ends)."""
+    n = sizes[index]
+    ends = np.cumsum(n)
+    if not len(ends) or not ends[-1]:
+        return flat[:0], ends
+    at = np.arange(ends[-1])
+    at += np.repeat(starts[index] - (ends - n), n)
+    return flat[at], ends
+
+
 class ChunkTable:
-    """Ids by chunk. encode_new takes the chunks not seen yet and returns a list of ids for each; the table is emptied between calls once it holds `limit` chunks."""
+    """Ids by chunk. encode_new takes the chunks not seen yet and returns (ids, starts, sizes): where each chunk's ids stand.
+
+    The table is emptied between calls once it holds `limit` chunks, which bounds a worker's memory.
+    """
 
-    def __init__(self, encode_new: Callable[[list[str]], list[list[int]]], limit: int = 500_000):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 200_000):
         self.encode_new, self.limit = encode_new, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at: defaultdict[str, int] = defaultdict()
+        self.at.default_factory = self.at.__len__  # a new chunk gets the next number
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of all texts in one array and each text's bounds in it."""
         if len(self.at) > self.limit:
             self._clear()
-        at, known = self.at, len(self.at)
-        rows: list[int] = []
-        bounds = [0]
+        known, number = len(self.at), self.at.__getitem__
+        rows, bounds = array("i"), [0]
         for text in texts:
-            for c in chunks_of(text or ""):
-                i = at.get(c)
-                if i is None:
-                    i = at[c] = len(at)
-                rows.append(i)
+            rows.extend(map(number, chunks_of(text or "")))
             bounds.append(len(rows))
-        if len(at) > known:
-            new = list(at)[known:]
-            ids = self.encode_new(new)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum()))
-            starts = len(self.flat) + np.cumsum(sizes) - sizes
-            self.flat, self.starts, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        index = np.array(rows, np.int64)
-        sizes = self.sizes[index] if len(index) else np.zeros(0, np.int64)
-        ends = np.cumsum(sizes)
-        gather = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
-        gather += np.repeat(self.starts[index] - (ends - sizes), sizes) if len(index) else 0
-        offsets = np.concatenate([[0], ends])[np.array(bounds)]
-        return self.flat[gather], offsets
+        if len(self.at) > known:
+            flat, starts, sizes = self.encode_new(list(islice(self.at, known, None)))
+            self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+            self.flat, self.sizes = np.concatenate([self.flat, flat.astype(np.int32)]), np.concatenate([self.sizes, sizes.astype(np.int32)])
+        ids, ends = gather(self.flat, self.starts, self.sizes, np.frombuffer(rows, np.int32) if len(rows) else np.zeros(0, np.int32))
+        return ids, np.concatenate([[0], ends])[np.array(bounds)]
 
 
 def id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -13,7 +13,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
 #: Text bytes that one call of a batch function sees at most, but for a single longer row.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

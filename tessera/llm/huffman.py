@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +48,21 @@ def library_encoder(path: str):
     batch = tok.encode_batch_fast
     (mark,) = tok.encode("\n", add_special_tokens=False).ids
 
-    def encode_new(new: list[str]) -> list[list[int]]:
+    def encode_new(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunks of one word go to the library many at a time, a line each; a line end is always a token of its own between them."""
-        out: list[list[int] | None] = [None] * len(new)
-        plain = [i for i, c in enumerate(new) if c.split() == [c[1:] if c[0] == " " else c]]
-        lines = [plain[k : k + LINES] for k in range(0, len(plain), LINES)]
-        for group, e in zip(lines, batch(["\n".join(new[i] for i in g) for g in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids)
-            parts = np.split(ids, np.flatnonzero(ids == mark))
-            for i, p in zip(group, [parts[0], *(p[1:] for p in parts[1:])], strict=True):
-                out[i] = p.tolist()
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, batch([new[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+        is_plain = np.array([c.isprintable() and c.rfind(" ") <= 0 and c != " " for c in new])
+        plain, rest = np.flatnonzero(is_plain).tolist(), np.flatnonzero(~is_plain).tolist()
+        lines = ["\n".join([new[i] for i in plain[k : k + LINES]]) + "\n" for k in range(0, len(plain), LINES)]
+        whole = [e.ids for e in batch(lines, add_special_tokens=False)] + [e.ids for e in batch([new[i] for i in rest], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(whole), np.int32, sum(map(len, whole)))
+        n_lines = sum(map(len, whole[: len(lines)]))
+        marks = np.flatnonzero(flat[:n_lines] == mark)
+        starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        starts[is_plain] = np.concatenate([[0], marks[:-1] + 1]) if len(marks) else 0
+        sizes[is_plain] = marks - starts[is_plain]
+        sizes[~is_plain] = [len(x) for x in whole[len(lines) :]]
+        starts[~is_plain] = n_lines + np.cumsum(sizes[~is_plain]) - sizes[~is_plain]
+        return flat, starts, sizes
 
     return ChunkTable(encode_new).encode
 
