@@ -6,7 +6,8 @@ candidate, which a local alignment within BAND words of the diagonals turns into
 in parts of the template's. Candidates below MIN_COVERAGE are dropped, and a span inside another's of more matched words.
 
 Null and wordless texts have no match. Documents are scanned whole. Repeated rows, extra columns and empty tables pass
-through; columns with an output's name are replaced. Of equal matches the first template in order wins.
+through; columns with an output's name are replaced. Of matches with as many words the one of higher coverage wins, then
+the first template in order.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ class Scanner:
                 m = self._align(t, coded, diagonals[a], diagonals[b - 1])
                 if m is not None:
                     found.append(m)
-        found.sort(key=lambda m: (-m["matched"], m["first_word"], m["t"]))
+        found.sort(key=lambda m: (-m["matched"], -m["coverage"], m["first_word"], m["t"]))
         kept: list[dict] = []
         for m in found:
             if not any(k["first_word"] <= m["first_word"] and m["last_word"] <= k["last_word"] for k in kept):

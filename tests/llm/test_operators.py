@@ -318,7 +318,8 @@ def test_html():
         assert H.extract(page, wrapper).split("\n\n") == H.extract(page, None).split("\n\n") == want
     assert H.extract(None, wrapper) == H.extract("", wrapper) == H.extract("<p", wrapper) == ""
     assert H.extract("<p>a</p><nav>b</nav><p>c &am", None) == "a\n\nc &am"
-    tokens = H.tokens_of(pages[2])
+    wrapper = H.loaded(json.dumps(H.infer([PAGE % "a", PAGE % "b"])))
+    tokens = H.tokens_of(PAGE % "c")
     stream = "".join(wrapper[0].get("T\t" + r if k == "T" else f"{k}\t{v}\t{r}", "\0") for k, v, r in tokens)
     assert wrapper[1].fullmatch(stream)
 
