@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 JOINS = {"inner": "inner", "left_outer": "left", "right_outer": "right"}
@@ -65,8 +66,6 @@ def select(df: DataFrame, predicate: Column | Callable[[DataFrame], Column]) ->
 
 def select_rows(df: DataFrame, predicate: Callable[[tuple], bool]) -> DataFrame:
     """Rows for which an opaque function of the row's values holds. It runs in Python, a batch at a time; expressions are faster."""
-    import pandas as pd
-
     names = df.columns
 
     @F.pandas_udf("boolean")
