@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, decontaminate, language, simhash, toxicity
+from tessera.llm import bpe, decontaminate, language, near_copies, toxicity
 from tessera.llm.common import held_out, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each class of near duplicates."""
-    return simhash.one_of_each(docs).select(COLUMNS)
+    """One document, the smallest id, of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
