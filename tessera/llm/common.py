@@ -78,12 +78,14 @@ def slices(batch: pa.RecordBatch, at: int, limit: int = SLICE_BYTES) -> Iterator
     if not batch.num_rows:
         return
     col = batch.column(at)
-    if not (pa.types.is_string(col.type) or pa.types.is_binary(col.type)) or col.nbytes <= limit:
+    is_list = pa.types.is_list(col.type)
+    if not (is_list or pa.types.is_string(col.type) or pa.types.is_binary(col.type)) or col.nbytes <= limit:
         yield batch
         return
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
+    sizes = pc.fill_null(pc.list_value_length(col) if is_list else pc.binary_length(col), 0).to_pylist()
+    limit //= 4 if is_list else 1  # ids of four bytes or so
     first = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
