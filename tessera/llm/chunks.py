@@ -42,22 +42,35 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.nd
 class ChunkTable:
     """Ids by chunk. encode_new takes the chunks not seen yet and returns (ids, starts, sizes): where each chunk's ids stand.
 
-    The table is emptied between calls once it holds `limit` chunks, which bounds a worker's memory.
+    Between calls a table of over `limit` chunks is cut to the half of them that were met most, and their counts are
+    halved. This bounds a worker's memory; what is cut is encoded again when it comes up.
     """
 
     def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 200_000):
         self.encode_new, self.limit = encode_new, limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.at: defaultdict[str, int] = defaultdict()
-        self.at.default_factory = self.at.__len__  # a new chunk gets the next number
+        self._hold([])
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int64)
+
+    def _hold(self, chunks: list[str]) -> None:
+        self.at.default_factory = None  # it refers to the old table, which would stay until the next full collection
+        self.at = defaultdict(None, zip(chunks, range(len(chunks))))
+        self.at.default_factory = self.at.__len__  # a new chunk gets the next number
+
+    def _cut(self) -> None:
+        n = max(1, self.limit // 2)
+        half = np.sort(np.argpartition(self.met, -n)[-n:])
+        names = list(self.at)
+        self._hold([names[i] for i in half.tolist()])
+        self.flat, ends = gather(self.flat, self.starts, self.sizes, half)
+        self.sizes, self.met = self.sizes[half], self.met[half] // 2
+        self.starts = ends - self.sizes
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of all texts in one array and each text's bounds in it."""
         if len(self.at) > self.limit:
-            self._clear()
+            self._cut()
         known, number = len(self.at), self.at.__getitem__
         rows, bounds = array("i"), [0]
         for text in texts:
@@ -67,7 +80,11 @@ class ChunkTable:
             flat, starts, sizes = self.encode_new(list(islice(self.at, known, None)))
             self.starts = np.concatenate([self.starts, starts + len(self.flat)])
             self.flat, self.sizes = np.concatenate([self.flat, flat.astype(np.int32)]), np.concatenate([self.sizes, sizes.astype(np.int32)])
-        ids, ends = gather(self.flat, self.starts, self.sizes, np.frombuffer(rows, np.int32) if len(rows) else np.zeros(0, np.int32))
+        index = np.frombuffer(rows, np.int32) if len(rows) else np.zeros(0, np.int32)
+        met = np.bincount(index, minlength=len(self.at))
+        met[: len(self.met)] += self.met
+        self.met = met
+        ids, ends = gather(self.flat, self.starts, self.sizes, index)
         return ids, np.concatenate([[0], ends])[np.array(bounds)]
 
 

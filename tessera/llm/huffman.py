@@ -34,8 +34,8 @@ MAX_LENGTH = 16
 BLOCK_IDS = 1 << 18
 STRIDE = 256
 MAGIC = b"HTB1"
-#: One-word chunks that the library gets in one text.
-LINES = 200
+#: One-word chunks that the library gets in one text, and texts that it gets in one call: its results are large.
+LINES, CALL = 200, 32
 
 
 def library_encoder(path: str):
@@ -53,14 +53,18 @@ def library_encoder(path: str):
         is_plain = np.array([c.isprintable() and c.rfind(" ") <= 0 and c != " " for c in new])
         plain, rest = np.flatnonzero(is_plain).tolist(), np.flatnonzero(~is_plain).tolist()
         lines = ["\n".join([new[i] for i in plain[k : k + LINES]]) + "\n" for k in range(0, len(plain), LINES)]
-        whole = [e.ids for e in batch(lines, add_special_tokens=False)] + [e.ids for e in batch([new[i] for i in rest], add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(whole), np.int32, sum(map(len, whole)))
-        n_lines = sum(map(len, whole[: len(lines)]))
+        parts, sizes_of = [np.zeros(0, np.int32)], []
+        texts = lines + [new[i] for i in rest]
+        for k in range(0, len(texts), CALL):
+            found = [e.ids for e in batch(texts[k : k + CALL], add_special_tokens=False)]
+            sizes_of += map(len, found)
+            parts.append(np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found))))
+        flat, n_lines = np.concatenate(parts), sum(sizes_of[: len(lines)])
         marks = np.flatnonzero(flat[:n_lines] == mark)
         starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         starts[is_plain] = np.concatenate([[0], marks[:-1] + 1]) if len(marks) else 0
         sizes[is_plain] = marks - starts[is_plain]
-        sizes[~is_plain] = [len(x) for x in whole[len(lines) :]]
+        sizes[~is_plain] = sizes_of[len(lines) :]
         starts[~is_plain] = n_lines + np.cumsum(sizes[~is_plain]) - sizes[~is_plain]
         return flat, starts, sizes
 
