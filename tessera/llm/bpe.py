@@ -159,6 +159,7 @@ def encoder(path: str, pattern: str) -> Callable[[list[str | None]], tuple[np.nd
             found = split(c)
             counts.append(len(found))
             rows.extend(map(at.__getitem__, found))
+        at.default_factory = None  # else the table and its words stay until the next full collection
         flat, ends = gather(*replay.encode([w.encode() for w in at]), np.frombuffer(rows, np.int32))
         cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, cut[:-1], np.diff(cut)
