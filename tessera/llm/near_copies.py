@@ -9,8 +9,11 @@ of similarity 0.8 is met with probability 1 - (1 - 0.8 ** 5) ** 16 = 0.998, more
 
 Equal word sequences (A-Z lower-cased) are one text, told apart by 64-bit hashes. Texts of fewer words than a shingle
 have one shingle of all their words; null, empty and wordless texts are one group. In a cell of over CELL_LIMIT texts all
-members are compared with PIVOTS of them; members that match none go to another round, until such cells are small and
-compared pair by pair, so every member is linked or has been compared with all that are left.
+members are compared with PIVOTS of them. Where a member matches none, as texts that share only a passage do, the cell's
+members are met again by their rare shingles: ordered by the number of texts that have them, the first fifth of two
+similar sets have one in common, so an equi-join on those loses no pair. Such a cell that is crowded again is compared
+with its pivots in rounds, twice as many in each, without the members that match, until what is left is compared pair by
+pair.
 
 Repeated rows count as copies: one stays. Rows without an id are never smallest; one row of each distinct text among them
 stays. An empty table gives an empty table. Extra columns are kept, whatever their names.
@@ -116,11 +119,27 @@ def _verified(pairs: DataFrame, reps: DataFrame, marked: DataFrame) -> DataFrame
     return stored(likely.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"), "similar")
 
 
+def _shingled(batches):
+    for batch in batches:
+        for v, text in zip(batch.column("v").to_pylist(), batch.column("text")):
+            hashes = shingle_hashes((text.as_py() or "").encode().lower().split()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), v, np.int64)), pa.array(hashes)], names=["v", "h"])
+
+
+def _by_rare_shingles(texts: DataFrame) -> DataFrame:
+    """(grid, cell, v): for texts(v, text) the rarest shingles, of which similar texts have one in common."""
+    sets = stored(texts.mapInArrow(_shingled, "v long, h long"), "shingles")
+    ranked = sets.join(sets.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
+    first = F.size("s") - F.ceil(F.size("s") * SIMILARITY - 1e-9) + 1
+    rare = ranked.select("v", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("x")).where("x.n > 1")
+    return rare.select(F.lit(SAMPLES).alias("grid"), F.col("x.h").alias("cell"), "v")
+
+
 def links(marked: DataFrame) -> DataFrame:
     """(a, b): enough pairs of similar texts of marked(v, prints, bytes, text) to connect each group."""
     reps = stored(marked.groupBy("v").agg(F.first("prints").alias("prints"), F.first("bytes").alias("bytes")), "distinct")
     members = reps.select("v", F.posexplode(F.transform("prints", embedding)).alias("grid", "cell"))
-    found, cell = None, ["grid", "cell"]
+    found, cell, n_pivots, rare = None, ["grid", "cell"], PIVOTS, False
     while True:
         sizes = stored(members.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         members = stored(members.join(sizes, cell), "members")
@@ -128,7 +147,7 @@ def links(marked: DataFrame) -> DataFrame:
         pairs = calm.withColumnRenamed("v", "a").join(calm.withColumnRenamed("v", "b"), cell).where("a < b").select("a", "b")
         again = not crowd.isEmpty()
         if again:
-            by_salt = crowd.groupBy(*cell, F.pmod(F.xxhash64("v"), F.lit(PIVOTS)).alias("salt"))
+            by_salt = crowd.groupBy(*cell, F.pmod(F.xxhash64("v"), F.lit(n_pivots)).alias("salt"))
             pivots = stored(by_salt.agg(F.min_by("v", F.xxhash64("grid", "v")).alias("p")).drop("salt"), "pivots")
             met = stored(crowd.join(pivots, cell).where("v <> p").select(*cell, "v", F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")), "met")
             pairs = pairs.unionByName(met.select("a", "b"))
@@ -137,7 +156,12 @@ def links(marked: DataFrame) -> DataFrame:
         if not again:
             return found
         linked = met.join(similar, ["a", "b"], "left_semi").select(*cell, "v").unionByName(pivots.select(*cell, F.col("p").alias("v")))
-        members = stored(crowd.join(linked.distinct(), [*cell, "v"], "left_anti"), "rest")
+        rest = stored(crowd.join(linked.distinct(), [*cell, "v"], "left_anti"), "rest")
+        if rare:
+            members, n_pivots = rest, 2 * n_pivots
+        else:
+            wanted = crowd.join(rest.select(*cell).distinct(), cell, "left_semi").select("v").distinct()
+            members, rare = _by_rare_shingles(marked.join(wanted, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text"))), True
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
