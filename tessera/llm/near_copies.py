@@ -9,11 +9,9 @@ of similarity 0.8 is met with probability 1 - (1 - 0.8 ** 5) ** 16 = 0.998, more
 
 Equal word sequences (A-Z lower-cased) are one text, told apart by 64-bit hashes. Texts of fewer words than a shingle
 have one shingle of all their words; null, empty and wordless texts are one group. In a cell of over CELL_LIMIT texts all
-members are compared with PIVOTS of them. Where a member matches none, as texts that share only a passage do, the cell's
-members are met again by their rare shingles: ordered by the number of texts that have them, the first fifth of two
-similar sets have one in common, so an equi-join on those loses no pair. Such a cell that is crowded again is compared
-with its pivots in rounds, twice as many in each, without the members that match, until what is left is compared pair by
-pair.
+members are compared with PIVOTS of them, which finds most links at little cost; the texts of such cells are then met again
+by their rare shingles: in any order of all shingles, here the rarest first, the first fifths of two similar sets have one
+in common, so an equi-join on those loses no pair. Only pairs that no chain of links joins yet are compared.
 
 Repeated rows count as copies: one stays. Rows without an id are never smallest; one row of each distinct text among them
 stays. An empty table gives an empty table. Extra columns are kept, whatever their names.
@@ -35,6 +33,8 @@ SAMPLES, ROWS = 16, 5
 CELL_LIMIT, PIVOTS = 64, 16
 #: Of the 80 sampled shingles' low bytes, pairs of similarity 0.8 agree in 64 on average, with a deviation of 3.6.
 LEAST_AGREEING = 50
+#: The order of shingles in `prefix` is by their counts in one text of ORDER_PART, of at most ORDER_LIMIT shingles.
+ORDER_PART, ORDER_LIMIT = 64, 20_000
 _RNG = np.random.default_rng(7)
 _ODD = _RNG.integers(0, 1 << 63, SAMPLES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(0, 1 << 63, SAMPLES * ROWS, dtype=np.uint64)
@@ -75,18 +75,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _mark():
+def _mark(common: tuple[np.ndarray, np.ndarray]):
     import xxhash
 
     def run(texts: pa.Array):
-        ids, prints, bytes_ = [], [], []
+        ids, prints, bytes_, sizes, firsts = [], [], [], [], []
         for text in texts.to_pylist():
             words = (text or "").encode().lower().split()
-            sampled = sample(shingle_hashes(words))
+            hashes = shingle_hashes(words)
+            sampled = sample(hashes)
+            sizes.append(len(hashes))
+            firsts.append(prefix(hashes, common).view(np.int64))
             ids.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
             prints.append(fingerprints(sampled))
             bytes_.append(sampled.astype(np.uint8).tobytes())
-        return [pa.array(ids, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())]
+        return [pa.array(ids, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(bytes_, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
 
     return run
 
@@ -109,66 +112,87 @@ def _similar(batches):
         yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, marked: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) that are similar enough."""
-    sides = [reps.select(F.col("v").alias(c), F.col("bytes").alias(f"s{c}")) for c in "ab"]
-    likely = stored(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"), "likely")
+def _verified(pairs: DataFrame, reps: DataFrame, marked: DataFrame, sampled: bool = True) -> DataFrame:
+    """Those of pairs(a, b) that are similar enough; if sampled, without those whose sampled shingles agree too seldom."""
+    if sampled:
+        sides = [reps.select(F.col("v").alias(c), F.col("bytes").alias(f"s{c}")) for c in "ab"]
+        pairs = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
+    likely = stored(pairs, "likely")
     wanted = likely.select(F.col("a").alias("v")).unionByName(likely.select(F.col("b").alias("v"))).distinct()
     texts = stored(marked.join(wanted, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text")), "texts")
     sides = [texts.select(F.col("v").alias(c), F.col("text").alias(f"t{c}")) for c in "ab"]
     return stored(likely.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"), "similar")
 
 
+def commoner(light: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles ascending, counts): those that repeat among one text in ORDER_PART, the commonest. Only the order of `prefix` rests on them."""
+    part = light.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ORDER_PART)) == 0).distinct()
+    counted = part.mapInArrow(_shingled, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = counted.orderBy(F.desc("n"), "h").limit(ORDER_LIMIT).collect()
+    names = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
 def _shingled(batches):
     for batch in batches:
-        for v, text in zip(batch.column("v").to_pylist(), batch.column("text")):
+        for text in batch.column("text"):
             hashes = shingle_hashes((text.as_py() or "").encode().lower().split()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), v, np.int64)), pa.array(hashes)], names=["v", "h"])
-
-
-def _by_rare_shingles(texts: DataFrame) -> DataFrame:
-    """(grid, cell, v): for texts(v, text) the rarest shingles, of which similar texts have one in common."""
-    sets = stored(texts.mapInArrow(_shingled, "v long, h long"), "shingles")
-    ranked = sets.join(sets.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
-    first = F.size("s") - F.ceil(F.size("s") * SIMILARITY - 1e-9) + 1
-    rare = ranked.select("v", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("x")).where("x.n > 1")
-    return rare.select(F.lit(SAMPLES).alias("grid"), F.col("x.h").alias("cell"), "v")
+            yield pa.RecordBatch.from_arrays([pa.array(hashes)], names=["h"])
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first fifth of the shingles, rarest first: two sets of SIMILARITY have one in common, whatever the order, if it is one for all."""
+    names, counts = common
+    weight = np.zeros(len(hashes), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+        weight = np.where(names[at] == hashes, counts[at], 0)
+    n = len(hashes)
+    return hashes[np.argsort(weight, kind="stable")][: n - int(np.ceil(n * SIMILARITY - 1e-9)) + 1]
+
+
+def remainder(found: DataFrame, reps: DataFrame, marked: DataFrame) -> DataFrame:
+    """(a, b): the similar pairs of reps(v, size, prefix, bytes) that the links found leave in two components, without loss.
+
+    Pairs meet by a shingle that both have in their prefixes. A cell whose texts are all in one component has nothing to
+    add; in the others each text outside the cell's largest component is compared with all texts of other components. A
+    pair is passed on only if what follows the shingle it meets by suffices for SIMILARITY: similar pairs do so at the
+    first one they share.
+    """
+    rooted = reps.join(components(found).withColumnRenamed("node", "v"), "v", "left").select("v", "size", "prefix", F.coalesce("root", "v").alias("root"))
+    cells = stored(rooted, "rooted").select("v", "size", "root", F.posexplode("prefix").alias("at", "cell"))
+    mixed = cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    members = stored(cells.join(mixed, "cell"), "mixed")
+    top = members.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("top"))
+    members = stored(members.join(top, "cell"), "topped").withColumn("left", F.col("size") - F.col("at"))
+    a, b = (members.select("cell", "top", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "size", "root", "left"))) for side in "ab")
+    both = a.where("root_a <> top").join(b.drop("top"), "cell").where("root_a <> root_b and (root_b = top or v_a < v_b)")
+    pairs = both.where(F.least("left_a", "left_b") >= F.ceil((F.col("size_a") + F.col("size_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6))
+    return _verified(pairs.select(F.least("v_a", "v_b").alias("a"), F.greatest("v_a", "v_b").alias("b")).distinct(), reps, marked, sampled=False)
 
 
 def links(marked: DataFrame) -> DataFrame:
-    """(a, b): enough pairs of similar texts of marked(v, prints, bytes, text) to connect each group."""
-    reps = stored(marked.groupBy("v").agg(F.first("prints").alias("prints"), F.first("bytes").alias("bytes")), "distinct")
-    members = reps.select("v", F.posexplode(F.transform("prints", embedding)).alias("grid", "cell"))
-    found, cell, n_pivots, rare = None, ["grid", "cell"], PIVOTS, False
-    while True:
-        sizes = stored(members.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-        members = stored(members.join(sizes, cell), "members")
-        calm, crowd = members.where(F.col("n") <= CELL_LIMIT).drop("n"), members.where(F.col("n") > CELL_LIMIT).drop("n")
-        pairs = calm.withColumnRenamed("v", "a").join(calm.withColumnRenamed("v", "b"), cell).where("a < b").select("a", "b")
-        again = not crowd.isEmpty()
-        if again:
-            by_salt = crowd.groupBy(*cell, F.pmod(F.xxhash64("v"), F.lit(n_pivots)).alias("salt"))
-            pivots = stored(by_salt.agg(F.min_by("v", F.xxhash64("grid", "v")).alias("p")).drop("salt"), "pivots")
-            met = stored(crowd.join(pivots, cell).where("v <> p").select(*cell, "v", F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")), "met")
-            pairs = pairs.unionByName(met.select("a", "b"))
-        similar = _verified(pairs.distinct(), reps, marked)
-        found = similar if found is None else found.unionByName(similar)
-        if not again:
-            return found
-        linked = met.join(similar, ["a", "b"], "left_semi").select(*cell, "v").unionByName(pivots.select(*cell, F.col("p").alias("v")))
-        rest = stored(crowd.join(linked.distinct(), [*cell, "v"], "left_anti"), "rest")
-        if rare:
-            members, n_pivots = rest, 2 * n_pivots
-        else:
-            wanted = crowd.join(rest.select(*cell).distinct(), cell, "left_semi").select("v").distinct()
-            members, rare = _by_rare_shingles(marked.join(wanted, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text"))), True
+    """(a, b): enough pairs of similar texts of marked(v, prints, bytes, size, prefix, text) to connect each group."""
+    reps = stored(marked.groupBy("v").agg(*(F.first(c).alias(c) for c in ("prints", "bytes", "size", "prefix"))), "distinct")
+    members, cell = reps.select("v", F.posexplode(F.transform("prints", embedding)).alias("grid", "cell")), ["grid", "cell"]
+    sizes = stored(members.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    members = stored(members.join(sizes, cell), "members")
+    calm, crowd = members.where(F.col("n") <= CELL_LIMIT).drop("n"), members.where(F.col("n") > CELL_LIMIT).drop("n")
+    pairs = calm.withColumnRenamed("v", "a").join(calm.withColumnRenamed("v", "b"), cell).where("a < b").select("a", "b")
+    by_salt = crowd.groupBy(*cell, F.pmod(F.xxhash64("v"), F.lit(PIVOTS)).alias("salt"))
+    pivots = stored(by_salt.agg(F.min_by("v", F.xxhash64("grid", "v")).alias("p")).drop("salt"), "pivots")
+    met = crowd.join(pivots, cell).where("v <> p").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"))
+    found = _verified(pairs.unionByName(met).distinct(), reps, marked)
+    return found.unionByName(remainder(found, reps.join(crowd.select("v").distinct(), "v", "left_semi"), marked))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, v, class_id) for every row: the hash of its text and the least id among its near copies, linked by any chain."""
     light = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    made = [StructField("v", LongType(), False), StructField("prints", ArrayType(LongType()), False), StructField("bytes", BinaryType(), False)]
-    marked = stored(map_columns(light, ["text"], made, _mark), "marked")
+    made = [StructField("v", LongType(), False), StructField("prints", ArrayType(LongType()), False), StructField("bytes", BinaryType(), False), StructField("size", LongType(), False), StructField("prefix", ArrayType(LongType()), False)]
+    common = commoner(light)
+    marked = stored(map_columns(light, ["text"], made, lambda: _mark(common)), "marked")
     rooted = components(links(marked)).withColumnRenamed("node", "v")
     least = marked.groupBy("v").agg(F.min("id").alias("least"))
     placed = stored(least.join(rooted, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root")), "placed")

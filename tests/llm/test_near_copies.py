@@ -45,3 +45,32 @@ def test_kept_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, v int")
     assert sorted(map(str, N.one_of_each(docs).collect())) == sorted(map(str, docs.dropDuplicates().where("not doc_id <=> 8").collect()))
     assert N.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_link_between_members_that_matched_different_pivots(spark, monkeypatch):
+    """Two groups that only one pair links, with every cell of that pair crowded by both groups."""
+    monkeypatch.setattr(N, "CELL_LIMIT", 2)
+    monkeypatch.setattr(N, "PIVOTS", 1)
+    monkeypatch.setattr(N, "embedding", lambda c: c * 0)
+    core, texts = [f"c{k}" for k in range(204)], []
+    for side in "xy":
+        tail = [f"{side}{k}" for k in range(48)]
+        texts += [core + tail[:24]] + [core + tail + [f"{side}own{k}"] for k in range(60)]
+        texts += [core[-4:] + tail + [f"{side}other{k}n{i}" for i in range(100)] for k in range(80)]
+    rows = list(enumerate(map(" ".join, texts)))
+    want = brute(rows)
+    assert sorted(want.values()).count(0) == 122 and len(set(want.values())) == 161
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.id: r.class_id for r in got.collect()} == want
+
+
+def test_prefixes_of_similar_sets_meet_in_any_order():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        every = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 60), dtype=np.uint64))
+        counts = (every[: len(every) // 2], rng.integers(2, 9, len(every) // 2))
+        a, b = (np.sort(rng.permutation(every)[rng.integers(0, 1 + len(every) // 8) :]) for _ in "ab")
+        if N.similarity(a, b) >= N.SIMILARITY:
+            assert set(N.prefix(a, counts).tolist()) & set(N.prefix(b, counts).tolist())
