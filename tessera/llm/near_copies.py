@@ -5,12 +5,12 @@ document has SAMPLES fingerprints, each the SimHash of ROWS shingles that consis
 of similarity s have equal ones with probability s ** ROWS each. They map to their segment counts as in `simhash`, an
 equi-join on those counts is the grid join at distance 0, and the shingle sets of the pairs are compared exactly. A pair
 of similarity 0.8 is met with probability 1 - (1 - 0.8 ** 5) ** 16 = 0.998, more similar ones oftener; no pair below
-0.8 is linked.
+0.8 is linked. What this leaves is found without loss by `remainder`.
 
 Equal word sequences (A-Z lower-cased) are one text, told apart by 64-bit hashes. Texts of fewer words than a shingle
 have one shingle of all their words; null, empty and wordless texts are one group. In a cell of over CELL_LIMIT texts all
-members are compared with PIVOTS of them, which finds most links at little cost; the texts of such cells are then met again
-by their rare shingles: in any order of all shingles, here the rarest first, the first fifths of two similar sets have one
+members are compared with PIVOTS of them, which finds most links at little cost; all texts are then met again by
+their rare shingles: in any order of all shingles, here the rarest first, the first fifths of two similar sets have one
 in common, so an equi-join on those loses no pair. Only pairs that no chain of links joins yet are compared.
 
 Repeated rows count as copies: one stays. Rows without an id are never smallest; one row of each distinct text among them
@@ -184,7 +184,7 @@ def links(marked: DataFrame) -> DataFrame:
     pivots = stored(by_salt.agg(F.min_by("v", F.xxhash64("grid", "v")).alias("p")).drop("salt"), "pivots")
     met = crowd.join(pivots, cell).where("v <> p").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"))
     found = _verified(pairs.unionByName(met).distinct(), reps, marked)
-    return found.unionByName(remainder(found, reps.join(crowd.select("v").distinct(), "v", "left_semi"), marked))
+    return found.unionByName(remainder(found, reps, marked))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
