@@ -23,7 +23,7 @@ def chunks_of(text: str) -> list[str]:
     """The chunks in order; joined they give the text."""
     if not text:
         return []
-    if len(text.split()) == text.count(" ") + text.count("\n") + 1 and "\x01" not in text:
+    if " ".join(text.split()) == text.replace("\n", " ") and "\x01" not in text:
         return text.replace(" ", "\x01 ").split("\x01")  # single spaces and line ends, none beside another
     return _CUT.split(text)
 

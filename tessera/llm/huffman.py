@@ -61,6 +61,8 @@ def library_encoder(path: str):
             parts.append(np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found))))
         flat, n_lines = np.concatenate(parts), sum(sizes_of[: len(lines)])
         marks = np.flatnonzero(flat[:n_lines] == mark)
+        if len(marks) != len(plain):
+            raise ValueError(f"{len(plain)} chunks of one word, but {len(marks)} line ends after them")
         starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         starts[is_plain] = np.concatenate([[0], marks[:-1] + 1]) if len(marks) else 0
         sizes[is_plain] = marks - starts[is_plain]
