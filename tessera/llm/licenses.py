@@ -1,9 +1,12 @@
 """License scans: winnowed fingerprints of templates in an inverted index, then banded alignment.
 
 A template's word GRAM-grams are winnowed (of every WINNOW consecutive hashes the least is kept); the index maps a kept
-hash to its places in templates. All grams of a document are looked up; hits of one template on nearby diagonals are a
-candidate, which a local alignment within BAND words of the diagonals turns into a span and its coverage: matched words
-in parts of the template's. Candidates below MIN_COVERAGE are dropped, and a span inside another's of more matched words.
+hash to its places in templates. Where a template of coverage MIN_COVERAGE need not keep a run of words that long, its grams
+are shorter or all kept. All grams of a document are looked up; hits of one template on nearby diagonals are a candidate,
+which a local alignment within BAND words of the diagonals turns into spans that don't overlap and their coverage: matched
+words in parts of the template's. What lies between a candidate's spans is aligned again while it has hits. Candidates below
+MIN_COVERAGE are dropped, and a span inside another's of more matched words. Words put between a template's words, unlike
+changed ones, can break all its grams; such a notice is not found.
 
 Null and wordless texts have no match. Documents are scanned whole. Repeated rows, extra columns and empty tables pass
 through; columns with an output's name are replaced. Of matches with as many words the one of higher coverage wins, then
@@ -12,8 +15,11 @@ the first template in order.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,19 +64,26 @@ class Scanner:
         self.templates = [(name, [w.lower() for w in _WORD.findall(t)]) for name, texts in templates.items() for t in texts]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in self.templates for w in ws}))}
         self.coded = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.templates]
-        self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.needed = [math.ceil(min_coverage * len(words) - 1e-9) for words in self.coded]
+        self.index: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, words in enumerate(self.coded):
-            hashes = self._grams(words)
-            kept = {k + int(np.argmin(hashes[k : k + WINNOW])) for k in range(max(1, len(hashes) - WINNOW + 1))} if len(hashes) else set()
+            if not len(words):
+                continue
+            run = -(-self.needed[t] // (len(words) - self.needed[t] + 1))  # words in a row that changing the others must leave
+            size = min(GRAM, run)
+            window = min(WINNOW, run - size + 1)
+            hashes = self._grams(words, size)
+            kept = {k + int(np.argmin(hashes[k : k + window])) for k in range(max(1, len(hashes) - window + 1))}
+            places = self.index.setdefault(size, defaultdict(list))
             for p in sorted(kept):
-                self.index[int(hashes[p])].append((t, p))
-        self.hashes = np.array(sorted(self.index), np.int64)
+                places[int(hashes[p])].append((t, p))
+        self.hashes = {size: np.array(sorted(places), np.int64) for size, places in self.index.items()}
 
-    def _grams(self, words: np.ndarray) -> np.ndarray:
+    def _grams(self, words: np.ndarray, size: int) -> np.ndarray:
         """A number for each gram, equal only for equal grams; the templates' vocabulary is small."""
-        n = len(words) - GRAM + 1
+        n = len(words) - size + 1
         out = np.zeros(max(0, n), np.int64)
-        for k in range(GRAM):
+        for k in range(size):
             out = out * (len(self.vocabulary) + 1) + words[k : k + len(out)]
         return out
 
@@ -78,40 +91,59 @@ class Scanner:
         words = _WORD.findall(text.lower()) if text else []
         known = self.vocabulary.get
         coded = np.array([known(w, 0) for w in words], np.int64)
-        grams = self._grams(coded)
-        hits = np.flatnonzero(np.isin(grams, self.hashes))
-        if not len(hits):
-            return []
-        places: dict[int, list[int]] = defaultdict(list)
-        for at, h in zip(hits.tolist(), grams[hits].tolist(), strict=True):
-            for t, p in self.index[h]:
-                places[t].append(at - p)
-        found = []
-        for t, diagonals in places.items():
-            diagonals.sort()
-            cut = [0, *(i for i in range(1, len(diagonals)) if diagonals[i] - diagonals[i - 1] > BAND), len(diagonals)]
-            for a, b in zip(cut, cut[1:]):
-                m = self._align(t, coded, diagonals[a], diagonals[b - 1])
-                if m is not None:
-                    found.append(m)
+        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for size, index in self.index.items():
+            grams = self._grams(coded, size)
+            hits = np.flatnonzero(np.isin(grams, self.hashes[size]))
+            for at, h in zip(hits.tolist(), grams[hits].tolist(), strict=True):
+                for t, p in index[h]:
+                    places[t].append((at - p, at))
+        found = [m for t, hits in places.items() for m in self._matches(t, coded, hits)]
         found.sort(key=lambda m: (-m["matched"], -m["coverage"], m["first_word"], m["t"]))
         kept: list[dict] = []
+        over: dict[int, int] = {}  # for each word the last word of the kept spans over it
         for m in found:
-            if not any(k["first_word"] <= m["first_word"] and m["last_word"] <= k["last_word"] for k in kept):
+            if over.get(m["first_word"], -1) < m["last_word"]:
                 kept.append(m)
+                for w in range(m["first_word"], m["last_word"] + 1):
+                    over[w] = max(over.get(w, -1), m["last_word"])
         spots = [m.span() for m in _WORD.finditer(text)] if kept else []
         if len(spots) != len(words):  # lower-casing changed the words' number
             spots = [m.span() for m in _WORD.finditer(text.lower())] if kept else []
         return [{**{k: v for k, v in m.items() if k != "t"}, "start": spots[m["first_word"]][0], "end": spots[m["last_word"]][1]} for m in sorted(kept, key=lambda m: m["first_word"])]
 
-    def _align(self, t: int, coded: np.ndarray, low: int, high: int) -> dict | None:
-        """Best local alignment of the template with the document on the diagonals low - BAND to high + BAND."""
+    def _matches(self, t: int, coded: np.ndarray, hits: list[tuple[int, int]]) -> Iterator[dict]:
+        """All matches of a template that don't overlap. hits: (diagonal, place in the document)."""
+        size, left = len(self.coded[t]), [(0, len(coded), sorted(hits))]
+        while left:
+            start, end, hits = left.pop()
+            cut = [0, *(i for i in range(1, len(hits)) if hits[i][0] - hits[i - 1][0] > BAND), len(hits)]
+            for a, b in zip(cut, cut[1:]):
+                low, high = hits[a][0], hits[b - 1][0]
+                first, last = max(start, low - BAND), min(end, high + size + BAND)
+                spans = sorted(self._align(t, coded, low, high, first, last))
+                for a_word, b_word, matched in spans:
+                    yield {"t": t, "license": self.templates[t][0], "coverage": matched / size, "matched": matched, "first_word": a_word, "last_word": b_word}
+                edges = [first, *(x for s in spans for x in (s[0], s[1] + 1)), last]
+                if not spans:
+                    continue
+                by_place = sorted(hits[a:b], key=lambda h: h[1])
+                for x, y in zip(edges[::2], edges[1::2]):
+                    i, j = (bisect_left(by_place, z, key=lambda h: h[1]) for z in (x, y))
+                    if y - x >= self.needed[t] and i < j:
+                        left.append((x, y, sorted(by_place[i:j])))
+
+    def _align(self, t: int, coded: np.ndarray, low: int, high: int, first: int, last: int) -> list[tuple[int, int, int]]:
+        """(first word, last word, matched): local alignments of the template with words first to last, the best and then the
+        next best beside it, on the diagonals low - BAND to high + BAND."""
         template = self.coded[t].tolist()
-        first, last = max(0, low - BAND), min(len(coded), high + len(template) + BAND)
         doc, width = coded[first:last].tolist(), high - low + 2 * BAND + 1
+        present = set(doc)
+        if sum(w in present for w in template) < self.needed[t]:
+            return []
         shift = low - BAND - first  # column of the band's first cell in row 0
         before: list[tuple] = [(0, 0, 0, 0)] * (width + 2)  # score, matched, first and last document word
-        best = (0, 0, 0, 0)
+        ends: dict[int, tuple] = {}  # the best alignment that ends at each word
         for i, w in enumerate(template):
             row = [(0, 0, 0, 0)] * (width + 2)
             for k in range(1, width + 1):
@@ -125,12 +157,15 @@ class Scanner:
                     cell = max((d[0] - 1, *d[1:]), (before[k + 1][0] - 1, *before[k + 1][1:]), (row[k - 1][0] - 1, *row[k - 1][1:]))
                 if cell[0] > 0:
                     row[k] = cell
-                    if cell > best and doc[j] == w:
-                        best = cell
+                    if doc[j] == w and cell[1] >= self.needed[t] and cell > ends.get(j, ()):
+                        ends[j] = cell
             before = row
-        if best[1] < self.min_coverage * len(template):
-            return None
-        return {"t": t, "license": self.templates[t][0], "coverage": best[1] / len(template), "matched": best[1], "first_word": first + best[2], "last_word": first + best[3]}
+        taken, spans = bytearray(len(doc)), []
+        for _, matched, a, b in sorted(ends.values(), reverse=True):
+            if not any(taken[a : b + 1]):
+                taken[a : b + 1] = b"\x01" * (b + 1 - a)
+                spans.append((first + a, first + b, matched))
+        return spans
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, text_col: str = "text", keep_text: bool = True) -> DataFrame:

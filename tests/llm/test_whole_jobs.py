@@ -2,7 +2,7 @@
 
 import public_tokenizers as P
 
-from tessera.llm import chunks, huffman
+from tessera.llm import chunks, huffman, licenses
 
 
 def test_chunks_are_never_empty():
@@ -15,3 +15,23 @@ def test_chunks_are_never_empty():
     tok = Tokenizer.from_file(path)
     ids, at = huffman.library_encoder(path)(texts)
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_every_license_of_a_run():
+    s = licenses.Scanner()
+    for notice in ("Released under the MIT License.", "Licensed under CC BY 4.0.", licenses.TEMPLATES["Apache-2.0"][0]):
+        words = len(licenses._WORD.findall(notice))
+        for n in (1, 2, 1000):
+            found = s.scan(" ".join([notice] * n))
+            assert [m["first_word"] for m in found] == list(range(0, n * words, words)) and {m["coverage"] for m in found} == {1.0}
+
+
+def test_changed_words_up_to_the_coverage():
+    for texts in licenses.TEMPLATES.values():
+        for t in texts:
+            words = licenses._WORD.findall(t)
+            s = licenses.Scanner({"x": [t]})
+            n = len(words) - s.needed[0]
+            for at in {tuple(k * len(words) // (n + 1) for k in range(1, n + 1)), *((k,) for k in range(len(words)) if n == 1), tuple(range(4, len(words) - 1, 5))[:n]}:
+                changed = ["other" if i in at else w for i, w in enumerate(words)]
+                assert len(s.scan("before it " + " ".join(changed) + " after it")) == 1, (t, at)
