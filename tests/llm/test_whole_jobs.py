@@ -1,8 +1,10 @@
 """Cases in which operators once did less than the whole job."""
 
+import json
+
 import public_tokenizers as P
 
-from tessera.llm import chunks, huffman, licenses
+from tessera.llm import chunks, html_text as H, huffman, licenses
 
 
 def test_chunks_are_never_empty():
@@ -35,3 +37,11 @@ def test_changed_words_up_to_the_coverage():
             for at in {tuple(k * len(words) // (n + 1) for k in range(1, n + 1)), *((k,) for k in range(len(words)) if n == 1), tuple(range(4, len(words) - 1, 5))[:n]}:
                 changed = ["other" if i in at else w for i, w in enumerate(words)]
                 assert len(s.scan("before it " + " ".join(changed) + " after it")) == 1, (t, at)
+
+
+def test_repeats_of_one_page_are_not_fixed():
+    pages = ["<ul>" + "<li>Yes</li>" * 8 + "</ul><p>one</p>", "<h2>Two</h2><p>two</p>", "<pre>three</pre>"]
+    wrapper = H.loaded(json.dumps(H.infer(pages)))
+    assert H.extract(pages[0], wrapper).split("\n\n") == ["Yes"] * 8 + ["one"]
+    same = [f"<h2>Site</h2><p>{k}</p>" for k in "abc"]
+    assert H.extract(same[1], H.loaded(json.dumps(H.infer(same)))) == "b"
