@@ -45,3 +45,12 @@ def test_repeats_of_one_page_are_not_fixed():
     assert H.extract(pages[0], wrapper).split("\n\n") == ["Yes"] * 8 + ["one"]
     same = [f"<h2>Site</h2><p>{k}</p>" for k in "abc"]
     assert H.extract(same[1], H.loaded(json.dumps(H.infer(same)))) == "b"
+
+
+def test_articles_inside_named_containers():
+    for label in ("layout has-sidebar", "content-with-nav", "page-with-banner", "sidebar", "widget"):
+        for tag in ("article", "main"):
+            assert H.extract(f'<div class="{label}"><{tag}><p>Text</p></{tag}><nav>Menu</nav></div>', None) == "Text", (label, tag)
+    assert H.extract('<article><p>a</p><section class="related-work"><p>b</p></section><div id="search-results"><p>c</p></div></article>', None) == "a\n\nb\n\nc"
+    for label in ("comments", "cookie-notice", "ad_banner", "x related"):
+        assert H.extract(f'<article><p>a</p></article><div class="{label}"><p>b</p><article>c</article></div>', None) == "a"
