@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pre-tokens of a slice of the corpus form one sequence of byte tokens. An inverted index holds, for each
-merge rank, the positions whose pair of neighbours makes that token. Ranks are replayed in order; a merge touches only its
-two neighbours, whose new pairs are entered in the index. A pair of a lower rank than the current one is replayed before
-the rest of its word goes on, and a pre-token that is itself a token is taken whole, both as the tiktoken library does.
+The corpus is cut into pieces and each distinct piece is encoded once (`pieces`). The distinct pre-tokens of a bucket of
+pieces form one sequence of byte tokens. An inverted index holds, for each pair of tokens that makes a token, the positions
+where the pair stands. Merges are replayed in rank order; a merge touches only its two neighbours, whose new pairs are
+entered in the index. A pair of a lower rank than the current one is replayed before the rest of its word goes on, and a
+pre-token that is itself a token is taken whole, both as the tiktoken library does.
 
 Null texts count as empty: no ids, and decoding gives no bytes. Extra columns stay, except those with an output's name,
 which are replaced. Repeated rows stay repeated, an empty table gives an empty table, and texts may be of any length.
@@ -14,7 +15,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections import defaultdict
-from collections.abc import Callable
 from heapq import heappop, heappush
 
 import numpy as np
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
-from .chunks import ChunkTable, gather, id_lists
 from .common import map_columns
+from .pieces import Encode, encode_texts, gather
 
 #: Distinct pre-tokens replayed together; bounds a task's memory.
 REPLAY_WORDS = 100_000
@@ -84,34 +84,38 @@ class MergeReplay:
         full = sizes > 0
         nxt[ends[full] - 1] = n
         prv[(ends - sizes)[full]] = n
-        # the index: places by the rank of the pair that begins there
+        # the index: places by the pair that begins there, and the pairs of each rank
         pair = np.full(n + 1, -1, np.int64)
         both = np.flatnonzero(nxt[:n] < n)
         distinct, inverse = np.unique(ids[both] << 20 | ids[both + 1], return_inverse=True)
         pair[both] = self._ranks(distinct >> 20, distinct & 0xFFFFF)[inverse] if len(both) else -1
         index: dict[int, list[np.ndarray]] = {}
+        of_rank: dict[int, list[int]] = {}
         heap: list[int] = []
 
         def enter(places: np.ndarray, ranks: np.ndarray) -> None:
             places, ranks = places[ranks >= 0], ranks[ranks >= 0]
             if not len(places):
                 return
-            order = np.argsort(ranks, kind="stable")
-            places, ranks = places[order], ranks[order]
-            cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-            for r, p in zip(ranks[np.append(0, cut)].tolist(), np.split(places, cut) if len(cut) else [places], strict=True):
-                if r in index:
-                    index[r].append(p)
+            pairs = ids[places] << 20 | ids[nxt[places]]
+            order = np.argsort(pairs, kind="stable")
+            places, ranks, pairs = places[order], ranks[order], pairs[order]
+            cut = np.append(0, np.flatnonzero(pairs[1:] != pairs[:-1]) + 1)
+            for key, r, p in zip(pairs[cut].tolist(), ranks[cut].tolist(), np.split(places, cut[1:]), strict=True):
+                if key in index:
+                    index[key].append(p)
+                    continue
+                index[key] = [p]
+                if r in of_rank:
+                    of_rank[r].append(key)
                 else:
-                    index[r] = [p]
+                    of_rank[r] = [key]
                     heappush(heap, r)
 
         enter(both, pair[both])
         while heap:
             rank = heappop(heap)
-            lists = index.pop(rank, None)
-            if lists is None:
-                continue
+            lists = [p for key in of_rank.pop(rank) for p in index.pop(key)]
             at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
             at = at[pair[at] == rank]
             if not len(at):
@@ -126,9 +130,9 @@ class MergeReplay:
                     some = at[np.append(twice, False) | np.append(False, twice)]
                     new = self._ranks(np.concatenate([np.full(len(some), rank), ids[prv[some]]]), np.concatenate([ids[nxt[nxt[some]]], np.full(len(some), rank)]))
                     if ((new >= 0) & (new < rank)).any():
-                        index[rank] = [at[1:][twice]]  # a lower rank may come up in these words first
-                        heappush(heap, rank)
+                        later = at[1:][twice]  # a lower rank may come up in these words first
                         at = at[np.append(True, ~twice)]
+                        enter(later, np.full(len(later), rank))
             gone = nxt[at]
             after = nxt[gone]
             ids[at], ids[gone], pair[gone] = rank, -1, -1
@@ -145,65 +149,53 @@ class MergeReplay:
         return ids[:n][live], np.diff(counts)
 
 
-def encoder(path: str, pattern: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
-    """texts -> (ids, offsets), with what was encoded before at hand."""
+def encoder(path: str, pattern: str) -> Encode:
+    """Distinct pieces -> (ids, starts, sizes), by the distinct pre-tokens in them."""
     import regex
 
     replay, split = MergeReplay(load_ranks(path)), regex.compile(pattern).findall
 
-    def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at: defaultdict[str, int] = defaultdict()
         at.default_factory = at.__len__
-        rows, counts = array("i"), []
-        for c in chunks:
-            found = split(c)
+        rows, counts = array("i"), array("i")
+        for piece in pieces:
+            found = split(piece)
             counts.append(len(found))
             rows.extend(map(at.__getitem__, found))
         at.default_factory = None  # else the table and its words stay until the next full collection
+        if not rows:
+            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         flat, ends = gather(*replay.encode([w.encode() for w in at]), np.frombuffer(rows, np.int32))
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return flat, cut[:-1], np.diff(cut)
-
-    return ChunkTable(encode_new).encode
+        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int32))])]
+        return flat.astype(np.int32), cut[:-1], np.diff(cut)
 
+    return encode
 
-_made: dict[tuple, Callable] = {}
 
-
-def _once(key: tuple, make: Callable[[], Callable]) -> Callable:
-    """One encoder for each Python worker, so that its tasks share what is cached."""
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
+def id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
     """docs with the ids of every match of pattern in its text, array<int>. path: a tiktoken rank file that executors can read."""
-
-    def make():
-        enc = _once(("bpe", path, pattern), lambda: encoder(path, pattern))
-        return lambda texts: [id_lists(*enc(texts.to_pylist()))]
-
-    return map_columns(docs, [text_col], [StructField(out, ArrayType(IntegerType(), False), False)], make, () if keep_text else (text_col,))
+    outputs = [StructField(out, ArrayType(IntegerType(), False), False)]
+    return encode_texts(docs, text_col, lambda: encoder(path, pattern), outputs, lambda ids, offsets: [id_lists(ids, offsets)], keep_text)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the bytes that the ids stand for, by one gather over a table of all tokens' bytes. Null ids give no bytes."""
 
     def make():
-        def load():
-            token = {r: t for t, r in load_ranks(path).items()}
-            sizes = np.array([len(token.get(i, b"")) for i in range(max(token) + 1)], np.int64)
-            return np.frombuffer(b"".join(token.get(i, b"") for i in range(len(sizes))), np.uint8), np.cumsum(sizes) - sizes, sizes
-
-        flat, starts, sizes = _once(("bytes", path), load)
+        token = {r: t for t, r in load_ranks(path).items()}
+        sizes = np.array([len(token.get(i, b"")) for i in range(max(token) + 1)], np.int64)
+        flat, starts = np.frombuffer(b"".join(token.get(i, b"") for i in range(len(sizes))), np.uint8), np.cumsum(sizes) - sizes
+        del token
 
         def run(col: pa.ListArray):
-            ids = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = np.fromiter((0 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()), np.int64, len(col))
-            n = sizes[ids]
-            ends = np.cumsum(n)
-            data = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[ids] - (ends - n), n)] if len(ids) else flat[:0]
+            ids = col.flatten().to_numpy(zero_copy_only=False)
+            counts = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+            data, ends = gather(flat, starts, sizes, ids)
             offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
             return [pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])]
 

@@ -26,11 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named or LOCAL_SHARED_DIR
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def stored(df: DataFrame, tag: str, large_rows: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    large_rows: rows of megabytes, whose sizes the writer checks one by one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    writer = df.write
+    if large_rows:
+        writer = writer.options(**{"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,10 @@
 """Token ids as binary: canonical length-limited Huffman codes from global counts, decoded by table in independent blocks.
 
-Layout written by `write`, below one folder of the shared store:
+Every distinct piece of the corpus is given to the tokenizer once (`pieces`). Layout written by `write`, below one folder of
+the shared store:
   codebook/  one row: `lengths`, one byte for each id, its code length (0: the id doesn't occur)
-  blocks/    rows (part, seq, start, block): parts and blocks in order hold the documents in ascending id order
+  blocks/    rows (part, seq, before, n, block): parts and blocks in order hold the documents in ascending id order; before
+             counts the ids of the part's earlier blocks, n the block's
 A block is bytes: header `<4sIIII` (magic, documents, ids, checkpoint stride, payload bytes), the documents' keys as
 little-endian int64 with a byte each for null, their id counts as uint32, the bit offset of every stride-th id as uint32,
 then the code bits, highest first, padded to whole bytes. Each block decodes alone, and within it every checkpoint starts
@@ -25,32 +27,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField
 
-from .bpe import _once
-from .chunks import ChunkTable
-from .common import shared_dir, slices, stored
+from .common import map_columns, shared_dir, stored
+from .pieces import Encode, encode_texts
 
 MAX_LENGTH = 16
 BLOCK_IDS = 1 << 18
 STRIDE = 256
 MAGIC = b"HTB1"
-#: One-word chunks that the library gets in one text, and texts that it gets in one call: its results are large.
+#: One-word pieces that the library gets in one text, and texts that it gets in one call: its results are large.
 LINES, CALL = 200, 32
 
 
-def library_encoder(path: str):
-    """texts -> (ids, offsets) with the tokenizers library, without special tokens."""
+def library_encoder(path: str) -> Encode:
+    """Distinct pieces -> (ids, starts, sizes) with the tokenizers library as it is, without adding special tokens."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     batch = tok.encode_batch_fast
     (mark,) = tok.encode("\n", add_special_tokens=False).ids
 
-    def encode_new(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Chunks of one word go to the library many at a time, a line each; a line end is always a token of its own between them."""
-        is_plain = np.array([c.isprintable() and c.rfind(" ") <= 0 and c != " " for c in new])
+    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of one word go to the library many at a time, a line each; a line end is always a token of its own between them."""
+        is_plain = np.array([c.isprintable() and c.rfind(" ") <= 0 and c != " " for c in new], bool)
         plain, rest = np.flatnonzero(is_plain).tolist(), np.flatnonzero(~is_plain).tolist()
         lines = ["\n".join([new[i] for i in plain[k : k + LINES]]) + "\n" for k in range(0, len(plain), LINES)]
         parts, sizes_of = [np.zeros(0, np.int32)], []
@@ -62,7 +63,7 @@ def library_encoder(path: str):
         flat, n_lines = np.concatenate(parts), sum(sizes_of[: len(lines)])
         marks = np.flatnonzero(flat[:n_lines] == mark)
         if len(marks) != len(plain):
-            raise ValueError(f"{len(plain)} chunks of one word, but {len(marks)} line ends after them")
+            raise ValueError(f"{len(plain)} pieces of one word, but {len(marks)} line ends after them")
         starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         starts[is_plain] = np.concatenate([[0], marks[:-1] + 1]) if len(marks) else 0
         sizes[is_plain] = marks - starts[is_plain]
@@ -70,32 +71,25 @@ def library_encoder(path: str):
         starts[~is_plain] = n_lines + np.cumsum(sizes[~is_plain]) - sizes[~is_plain]
         return flat, starts, sizes
 
-    return ChunkTable(encode_new).encode
+    return encode
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, seq, before, doc, n, data): documents in id order within range partitions; data holds n ids as uint32.
+def tokenize(docs: DataFrame, path: str, end_id: int, vocab: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, h, n, data): the text's hash, and n ids as little-endian integers of two bytes, or four for a large vocab."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"), F.col(f"`{text_col}`").alias("text"))
+    dtype = np.dtype(id_type(vocab))
 
-    before: ids of the same part's earlier documents. seq numbers a part's rows.
-    """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(n, "doc").sortWithinPartitions(F.col("doc").asc_nulls_first(), F.xxhash64("text"))
+    def pack(ids: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        ids, cut = np.insert(ids, offsets[1:], end_id).astype(dtype), offsets + np.arange(len(offsets))
+        data = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((dtype.itemsize * cut).astype(np.int32)), pa.py_buffer(ids)])
+        return [pa.array(np.diff(cut), pa.int64()), data]
+
+    outputs = [StructField("n", LongType(), False), StructField("data", BinaryType(), False)]
+    return encode_texts(rows, "text", lambda: library_encoder(path), outputs, pack, keep_text=False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _once(("library", path), lambda: library_encoder(path))
-        part, before, seq = TaskContext.get().partitionId(), 0, 0
-        for whole in batches:
-            for b in slices(whole, 1):
-                ids, offsets = enc(b.column(1).to_pylist())
-                ids, cut = np.insert(ids, offsets[1:], end_id).astype("<u4"), (offsets[1:] + np.arange(1, len(offsets))).tolist()
-                counts = np.diff([0, *cut])
-                starts = before + np.cumsum(counts) - counts
-                data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((4 * np.array([0, *cut])).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([pa.array([part] * b.num_rows, pa.int32()), pa.array(seq + np.arange(b.num_rows)), pa.array(starts), b.column(0), pa.array(counts), data], names=["part", "seq", "before", "doc", "n", "data"])
-                before, seq = before + int(counts.sum()), seq + b.num_rows
 
-    return ordered.mapInArrow(run, "part int, seq long, before long, doc long, n long, data binary")
+def id_type(vocab: int) -> str:
+    return "<u2" if vocab <= 1 << 16 else "<u4"
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_LENGTH) -> np.ndarray:
@@ -200,16 +194,17 @@ def read_block(block: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[list
 def write(docs: DataFrame, path: str, end_id: int, vocab: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> str:
     """Write the ids of docs, each document's followed by end_id, and return the folder. vocab bounds ids and code table.
 
-    The driver gets one row for each range partition and one for each id of the vocabulary.
+    The driver gets one row for each id of the vocabulary.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/ids"
-    tokens = stored(tokenize(docs, path, end_id, id_col, text_col), "tokens")
+    tokens = stored(tokenize(docs, path, end_id, vocab, id_col, text_col), "tokens")
+    dtype = id_type(vocab)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=vocab)
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype), minlength=vocab)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
@@ -217,61 +212,65 @@ def write(docs: DataFrame, path: str, end_id: int, vocab: int, folder: str | Non
     for r in tokens.select("data").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    codes = canonical_codes(lengths)
-    first, so_far = {}, 0
-    for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
-        first[r["part"]], so_far = so_far, so_far + r["n"]
-    shared = spark.sparkContext.broadcast((codes, lengths, first))
+    shared = spark.sparkContext.broadcast((canonical_codes(lengths), lengths))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, lengths, first = shared.value
+        codes, lengths = shared.value
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            part, seq, before = held[0][:3]
-            ids = np.frombuffer(b"".join(h[5] for h in held), "<u4")
-            block = make_block([h[3] for h in held], np.array([h[4] for h in held]), ids, codes, lengths)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq]), pa.array([first[part] + before]), pa.array([block])], names=["part", "seq", "start", "block"])
+            ids = np.frombuffer(b"".join(h[2] for h in held), dtype)
+            block = make_block([h[0] for h in held], np.array([h[1] for h in held]), ids, codes, lengths)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([block])], names=["part", "seq", "before", "n", "block"])
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (row[0] != held[0][0] or row[1] != held[-1][1] + 1 or size + row[4] > block_ids):
+            for row in zip(*(b.column(c).to_pylist() for c in ("doc", "n", "data")), strict=True):
+                if held and size + row[1] > block_ids:
                     yield flush()
-                    held, size = [], 0
+                    held, seq, before, size = [], seq + 1, before + size, 0
                 held.append(row)
-                size += row[4]
+                size += row[1]
         if held:
             yield flush()
 
-    tokens.mapInArrow(encode, "part int, seq long, start long, block binary").write.option("compression", "none").mode("overwrite").parquet(f"{folder}/blocks")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = tokens.repartitionByRange(parts, "doc").sortWithinPartitions(F.col("doc").asc_nulls_first(), "h")
+    ordered.mapInArrow(encode, _BLOCKS).write.option("compression", "none").mode("overwrite").parquet(f"{folder}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.mode("overwrite").parquet(f"{folder}/codebook")
     shared.unpersist()
     return folder
 
 
+_BLOCKS = "part int, seq long, before long, n long, block binary"
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc, start, n_tokens, ids): what the files hold, start being the number of ids before the document's."""
+    """(doc, start, n_tokens, ids): what the files hold, start being the number of ids before the document's.
+
+    The driver gets one row for each part, of which `write` makes as many as the session has shuffle partitions.
+    """
     lengths = np.frombuffer(bytes(spark.read.schema("lengths binary").parquet(f"{folder}/codebook").first()[0]), np.uint8)
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks")
+    first, so_far = {}, 0
+    for r in sorted(blocks.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        first[r["part"]], so_far = so_far, so_far + r["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoding_table(lengths)
         for b in batches:
-            for start, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for part, before, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 docs, counts, ids = read_block(block, table)
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - counts), pa.array(counts), lists], names=["doc", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first[part] + before + ends - counts), pa.array(counts), lists], names=["doc", "start", "n_tokens", "ids"])
 
-    blocks = spark.read.schema("part int, seq long, start long, block binary").parquet(f"{folder}/blocks")
-    return blocks.select("start", "block").mapInArrow(run, "doc long, start long, n_tokens long, ids array<int>")
+    return blocks.select("part", "before", "block").mapInArrow(run, "doc long, start long, n_tokens long, ids array<int>")
 
 
 def with_crc32(df: DataFrame, ids_col: str = "ids", out: str = "ids_crc32") -> DataFrame:
     """df without the ids, with the unsigned crc32 of them as little-endian unsigned 32-bit integers."""
-    from pyspark.sql.types import LongType, StructField
-
-    from .common import map_columns
 
     def make():
         def run(col: pa.ListArray):

@@ -119,7 +119,6 @@ def test_huffman_query(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want, start = {}, 0
     for i, t in texts:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
@@ -128,15 +127,19 @@ def test_huffman_query(spark, texts):
     assert {r[0]: tuple(r)[1:] for r in queries.op6_huffman_ids(spark, SF).collect()} == want
 
 
-def test_huffman_library_chunks():
+def test_huffman_ids_are_the_librarys(spark):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    ids, at = huffman.library_encoder(path)(ODD_TEXTS)
-    for k, t in enumerate(ODD_TEXTS):
-        assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    every = [*ODD_TEXTS, "x <|endoftext|> y", "x<|endoftext|>y", "<|endoftext|><|endoftext|>", "a <|endof text|>", " Bonjour\u00a0: monde", "a b\nc"]
+    assert tok.encode(every[-6], add_special_tokens=False).ids == [87, 220, 50256, 331]
+    for vocab in (50_257, 1 << 17):
+        df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+        rows = huffman.tokenize(df, path, 7, vocab).collect()
+        got = {r["doc"]: np.frombuffer(bytes(r["data"]), huffman.id_type(vocab)).tolist() for r in rows}
+        assert got == {k: [*tok.encode(t or "", add_special_tokens=False).ids, 7] for k, t in enumerate(every)}
+        assert all(r["n"] == len(got[r["doc"]]) for r in rows)
 
 
 @pytest.mark.parametrize("counts", [[5], [1, 1], [2 ** max(0, i) for i in range(40)], [0, 3, 0, 9, 1], [1] * 300])

@@ -2,21 +2,53 @@
 
 import json
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 
-from tessera.llm import chunks, html_text as H, huffman, licenses
+from tessera.llm import bpe, html_text as H, licenses, pieces
 
 
-def test_chunks_are_never_empty():
-    from tokenizers import Tokenizer
+ODD = ["", None, "  a  b ", "a \n b\t\t c's  'll ", " Bonjour\u00a0: monde", "\ta b  c", " a\u3000b", "a\u00a0b  c", "a\tb\tc   d", "a b\nc", " ", "a  b", "é à ü", "“a” b", "\u2003 x", "日本 語 \u200b x", "नमस्ते दुनिया", "\U0001f600 \U0001f600 b", "\u180e x", "\ufeff x", "x \x85y"]
 
-    texts = [" Bonjour\u00a0: monde", "\ta b  c", " a\u3000b", "a\u00a0b  c", "\na b\tc", "a b\nc", " ", "a  b", "a b "]
-    for t in texts:
-        assert all(chunks.chunks_of(t)) and "".join(chunks.chunks_of(t)) == t
-    path = P.path("byte_bpe_50k.json")
-    tok = Tokenizer.from_file(path)
-    ids, at = huffman.library_encoder(path)(texts)
-    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+def test_pieces_are_cut_where_pre_tokens_end():
+    import regex
+
+    wide = r"[\s\x1c-\x1f\x85\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]"
+    for at in range(len(ODD)):  # also of arrays that begin within a larger one
+        made, counts = pieces.cut(pa.array(ODD).slice(at))
+        made = iter(made.to_pylist())
+        for t, n in zip(ODD[at:], counts.tolist(), strict=True):
+            own = [next(made) for _ in range(n)]
+            assert all(own) and "".join(own) == (t or "")
+            assert all(x[0] == " " and not regex.match(wide, x[1]) and not regex.match(wide, y[-1]) for y, x in zip(own, own[1:]))
+            for pattern in (P.PATTERN, r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"):
+                assert [x for c in own for x in regex.findall(pattern, c)] == regex.findall(pattern, t or "")
+    assert pieces.cut(pa.array(["नमस्ते दुनिया"]))[1].tolist() == [2]
+
+
+def test_packed_numbers_and_strings():
+    words = pa.array(["", "a", "é" * 300, " the", "the "])
+    bounds, data = pieces.unpack_pieces(pieces.pack_pieces(words))
+    assert [bytes(data[a:b]).decode() for a, b in zip(bounds, bounds[1:])] == words.to_pylist()
+    assert len(set(pieces.hashes_of(bounds, data).tolist())) == 5
+    numbers = np.array([0, 1, 70_000, 2**32 - 1])
+    assert pieces.unpack_ints(pieces.pack_ints(numbers)).tolist() == numbers.tolist() and not len(pieces.unpack_ints(pieces.pack_ints(numbers[:0])))
+
+
+def test_many_slices_and_buckets(spark, monkeypatch):
+    """Pieces of many slices, dealt to many buckets, give every text its own ids again."""
+    import tiktoken
+
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 300)
+    monkeypatch.setattr(pieces, "BUCKET_PIECES", 20)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(i % 60)) for i in range(200)] + ODD
+    rows = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), path, P.PATTERN).collect()
+    assert len(rows) == len(texts) and all(r["ids"] == library.encode_ordinary(r["text"] or "") for r in rows)
+    assert [r["ids"] for r in bpe.encode(spark.createDataFrame([("a b",)], "text string"), path, P.PATTERN, keep_text=False).collect()] == [library.encode_ordinary("a b")]
 
 
 def test_every_license_of_a_run():
