@@ -29,7 +29,7 @@ def test_pieces_are_cut_where_pre_tokens_end():
 
 
 def test_packed_numbers_and_strings():
-    words = pa.array(["", "a", "é" * 300, " the", "the "])
+    words = pa.array(["a", "b", "é" * 300, " the", "the "])
     bounds, data = pieces.unpack_pieces(pieces.pack_pieces(words))
     assert [bytes(data[a:b]).decode() for a, b in zip(bounds, bounds[1:])] == words.to_pylist()
     assert len(set(pieces.hashes_of(bounds, data).tolist())) == 5
