@@ -1,12 +1,15 @@
 """Encoding a corpus piece by piece: texts are cut where pre-tokens must end, and every distinct piece is encoded once.
 
-1. Each slice of about SLICE_BYTES of text becomes one row: the slice's distinct pieces, and each text as codes of them.
-2. The pieces are dealt by hash to buckets of about BUCKET_PIECES; a bucket holds all slices' copies of its pieces, so a
-   piece is encoded once for the whole corpus. The ids go back to the slices, packed.
-3. A slice and its pieces' ids meet, and the texts' ids are gathered.
+1. Each slice of about SLICE_BYTES of text gives its distinct pieces, dealt by hash to buckets. A bucket meets all slices'
+   copies of its pieces, so a piece is encoded once for the whole corpus. The ids go back to the slices, packed.
+2. Each slice's texts become codes of its pieces, meet the pieces' ids, and the texts' ids are gathered.
 
-Pieces, codes and ids travel packed and compressed. A slice, a bucket's share of one slice and one bucket are what a task
-holds at a time; a single longer text is a slice of its own. Nothing is kept between tasks.
+There are BUCKETS buckets for each of the session's shuffle partitions, so both grow together. Pieces, codes and ids travel
+packed and compressed; a slice, a bucket's share of one slice and one bucket are what a task holds at a time, and a single
+longer text is a slice of its own. Nothing is kept between tasks or written besides the shuffles.
+
+Both steps read the texts, so the rows must come in the same order twice: scans of files do. Any other input is stored
+first. A slice is named by its texts' hash, and a slice without its ids raises an error.
 
 A piece begins at a single space between two characters that aren't white space: byte-level pre-tokenizers take at most one
 space with what follows it, and no token reaches from a character into the space after it.
@@ -14,20 +17,20 @@ space with what follows it, and no token reaches from a character into the space
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
 from .common import slices, stored
 
-SLICE_BYTES = 8 << 20
-BUCKET_PIECES = 500_000
+SLICE_BYTES = 16 << 20
+BUCKETS = 4
 #: encode(pieces) gives (ids, starts, sizes): where each piece's ids stand.
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -94,8 +97,9 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.nd
     ends = np.cumsum(n)
     if not len(ends) or not ends[-1]:
         return flat[:0], ends
-    at = np.arange(ends[-1])
-    at += np.repeat(starts[index] - (ends - n), n)
+    kind = np.int32 if max(int(ends[-1]), len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts[index] - (ends - n)).astype(kind), n)
+    at += np.arange(len(at), dtype=kind)
     return flat[at], ends
 
 
@@ -163,18 +167,31 @@ def _buckets_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _named(texts: pa.Array) -> int:
+    """The hash of the texts."""
+    import xxhash
+
+    bounds, data = _layout(pa.compute.fill_null(texts, ""))
+    h = xxhash.xxh3_64(np.ascontiguousarray(data))
+    h.update(bounds.tobytes())
+    return h.intdigest() - (1 << 63)
+
+
 def _dealt(n_buckets: int):
-    """(slice, pieces) to (bucket, slice, pieces): a slice's pieces are in the order of their hashes, so buckets are runs."""
+    """Texts to (bucket, slice, pieces): a slice's distinct pieces in the order of their hashes, of which buckets are runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                bounds, data = unpack_pieces(blob.as_py())
-                of = _buckets_of(hashes_of(bounds, data), n_buckets)
+        for whole in batches:
+            for b in slices(whole, 0, SLICE_BYTES):
+                bounds, data = _layout(pa.compute.unique(cut(b.column(0))[0]))
+                hashes = hashes_of(bounds, data)
+                order = np.argsort(hashes, kind="stable")
+                data, ends = gather(data, bounds[:-1], np.diff(bounds), order)
+                bounds, of = np.concatenate([[0], ends]), _buckets_of(hashes[order], n_buckets)
                 names, first = np.unique(of, return_index=True)
                 last = np.append(first[1:], len(of))
-                made = [pack_pieces(_strings(bounds[a : b + 1] - bounds[a], data[bounds[a] : bounds[b]])) for a, b in zip(first.tolist(), last.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([number] * len(names), pa.int64()), pa.array(made, pa.binary())], names=["bucket", "slice", "pieces"])
+                made = [pack_pieces(_strings(bounds[x : y + 1] - bounds[x], data[bounds[x] : bounds[y]])) for x, y in zip(first.tolist(), last.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([_named(b.column(0))] * len(names), pa.int64()), pa.array(made, pa.binary())], names=["bucket", "slice", "pieces"])
 
     return run
 
@@ -199,59 +216,67 @@ def _encoded(make: Callable[[], Encode]):
     return run
 
 
+_SCANS = re.compile(r"[\s:|+\-]*(?:\(\d+\) )?(?:Project|Filter|Relation|LogicalRDD|LocalRelation|Range|SubqueryAlias|GlobalLimit|LocalLimit)\b")
+
+
+def _comes_alike(docs: DataFrame) -> bool:
+    """The rows come in the same order whenever they are read: a scan, filtered or projected."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    return all(_SCANS.match(line) and "Limit" not in line for line in plan.splitlines() if line.strip())
+
+
 def encode_texts(docs: DataFrame, text_col: str, make: Callable[[], Encode], outputs: list[StructField], pack: Callable[[np.ndarray, np.ndarray], list[pa.Array]], keep_text: bool = True) -> DataFrame:
     """docs with the output columns that pack(ids, offsets) makes from its texts' ids. make() gives an encoder of pieces."""
     gone = {f.name.lower() for f in outputs} | ({text_col.lower()} if not keep_text else set())
     if all(c.lower() in gone for c in docs.columns):
         return encode_texts(docs.withColumn("__row", F.lit(None).cast(BooleanType())), text_col, make, outputs, pack, keep_text).drop("__row")
+    if not _comes_alike(docs):
+        docs = stored(docs, "texts")
     kept = [f for f in docs.schema.fields if f.name.lower() not in gone]
     names = [f.name for f in docs.schema.fields]
     keep_at = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in gone]
     text_at = next(i for i, n in enumerate(names) if n.lower() == text_col.lower())
     own = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(kept)])
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, text_at, SLICE_BYTES):
                 pieces, counts = cut(b.column(text_at))
-                coded = pieces.dictionary_encode()
-                codes, words = coded.indices.to_numpy(), coded.dictionary
-                common = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
-                rank = np.empty(len(words), np.int64)
-                rank[common] = np.arange(len(words))
-                by_hash = np.argsort(hashes_of(*_layout(words)), kind="stable")
-                place = np.empty(len(words), np.int64)
-                place[by_hash] = np.arange(len(words))
+                made = pieces.dictionary_encode()
+                codes, words = made.indices.to_numpy(), made.dictionary
+                del pieces, made
+                common = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # small numbers for them pack better
+                rank, place = np.empty(len(words), np.int32), np.empty(len(words), np.int32)
+                rank[common] = place[np.argsort(hashes_of(*_layout(words)), kind="stable")] = np.arange(len(words))
                 rows = pa.StructArray.from_arrays([b.column(i) for i in keep_at], names=[f"c{i}" for i in range(len(keep_at))])
-                bounds = pa.array([0, b.num_rows], pa.int32())
-                blobs = [[pack_ints(x)] for x in (rank[codes], counts, place[common])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([len(words)], pa.int64()), pa.array([pack_pieces(words.take(pa.array(by_hash)))], pa.binary()), *(pa.array(x, pa.binary()) for x in blobs), pa.ListArray.from_arrays(bounds, rows)],
-                    names=["slice", "n", "pieces", "codes", "counts", "place", "rows"],
-                )
-                number += 1
-
-    made = stored(docs.mapInArrow(sliced, StructType.fromDDL("slice long, n long, pieces binary, codes binary, counts binary, place binary").add("rows", ArrayType(own))), "slices", large_rows=True)
-    total = made.agg(F.sum("n")).first()[0] or 0
-    dealt = made.select("slice", "pieces").mapInArrow(_dealt(max(1, -(-total // BUCKET_PIECES))), "bucket long, slice long, pieces binary")
+                blobs = [pa.array([pack_ints(x)], pa.binary()) for x in (rank[codes], counts, place[common])]
+                yield pa.RecordBatch.from_arrays([pa.array([_named(b.column(text_at))], pa.int64()), *blobs, pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), rows)], names=["slice", "codes", "counts", "place", "rows"])
+
+    n_buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(F.col(f"`{names[text_at]}`")).mapInArrow(_dealt(n_buckets), "bucket long, slice long, pieces binary")
     encoded = dealt.groupBy("bucket").applyInArrow(_encoded(make), "slice long, bucket long, ids binary")
     schema = StructType([*kept, *outputs])
     arrow = to_arrow_schema(schema)
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [right.column("ids")[i].as_py() for i in np.argsort(right.column("bucket").to_numpy()).tolist()]
+        buckets, first = np.unique(right.column("bucket").to_numpy(), return_index=True)  # equal slices send the same
         runs, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for blob in parts:
+        for i in first.tolist():
+            blob = right.column("ids")[i].as_py()
             (n,), x = struct.unpack_from("<I", blob), unpack_ints(blob[4:])
             sizes.append(x[:n].astype(np.int64))
             runs.append(x[n:])
-        size = np.concatenate(sizes)
-        codes, counts, place = (unpack_ints(left.column(c)[0].as_py()) for c in ("codes", "counts", "place"))
-        ids, ends = gather(np.concatenate(runs), np.cumsum(size) - size, size, place[codes])
-        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts.astype(np.int64))])]
-        rows = left.column("rows").combine_chunks().flatten()
-        return pa.Table.from_arrays([*rows.flatten(), *pack(ids, offsets)], names=arrow.names).cast(arrow)
-
-    both = made.select("slice", "codes", "counts", "place", "rows").groupBy("slice").cogroup(encoded.groupBy("slice"))
-    return both.applyInArrow(joined, schema)
+        flat, size = np.concatenate(runs), np.concatenate(sizes)
+        starts, made = np.cumsum(size) - size, []
+        for k in range(left.num_rows):
+            codes, counts, place = (unpack_ints(left.column(c)[k].as_py()) for c in ("codes", "counts", "place"))
+            if len(place) != len(size):
+                raise RuntimeError(f"a slice of {len(place)} pieces met the ids of {len(size)}: its rows came in another order")
+            ids, ends = gather(flat, starts, size, place[codes])
+            offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts.astype(np.int64))])]
+            rows = left.column("rows").slice(k, 1).combine_chunks().flatten()
+            made.append(pa.Table.from_arrays([*rows.flatten(), *pack(ids, offsets)], names=arrow.names).cast(arrow))
+        return pa.concat_tables(made) if made else arrow.empty_table()
+
+    slices_ = docs.mapInArrow(coded, StructType.fromDDL("slice long, codes binary, counts binary, place binary").add("rows", ArrayType(own)))
+    return slices_.groupBy("slice").cogroup(encoded.groupBy("slice")).applyInArrow(joined, schema)

@@ -42,12 +42,16 @@ def test_many_slices_and_buckets(spark, monkeypatch):
     import tiktoken
 
     monkeypatch.setattr(pieces, "SLICE_BYTES", 300)
-    monkeypatch.setattr(pieces, "BUCKET_PIECES", 20)
+    monkeypatch.setattr(pieces, "BUCKETS", 9)
     path = P.path("byte_bpe_multi_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     texts = [" ".join(f"w{(i * k) % 97}" for k in range(i % 60)) for i in range(200)] + ODD
-    rows = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), path, P.PATTERN).collect()
-    assert len(rows) == len(texts) and all(r["ids"] == library.encode_ordinary(r["text"] or "") for r in rows)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for docs in (df, df.unionByName(df), df.repartition(3, "i"), df.orderBy("text").limit(150)):  # equal slices, and rows that come in any order
+        rows = bpe.encode(docs, path, P.PATTERN).collect()
+        assert len(rows) == docs.count() and all(r["ids"] == library.encode_ordinary(r["text"] or "") for r in rows)
+    assert pieces._comes_alike(df.select("text")) and not pieces._comes_alike(df.repartition(3, "i")) and not pieces._comes_alike(df.limit(3))
+    assert pieces._comes_alike(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id > 3").select("text"))
     assert [r["ids"] for r in bpe.encode(spark.createDataFrame([("a b",)], "text string"), path, P.PATTERN, keep_text=False).collect()] == [library.encode_ordinary("a b")]
 
 
