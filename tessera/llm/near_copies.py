@@ -7,6 +7,10 @@ equi-join on those counts is the grid join at distance 0, and the shingle sets o
 of similarity 0.8 is met with probability 1 - (1 - 0.8 ** 5) ** 16 = 0.998, more similar ones oftener; no pair below
 0.8 is linked. What this leaves is found without loss by `remainder`.
 
+Pairs are compared in two steps. A text's parity bits have a 1 where an odd number of its shingles fall; the bits in which
+two texts' parities differ are never more than the shingles that only one of them has, so most pairs are ruled out by a few
+bytes for each hundred words. Only the others' texts are fetched.
+
 Equal word sequences (A-Z lower-cased) are one text, told apart by 64-bit hashes. Texts of fewer words than a shingle
 have one shingle of all their words; null, empty and wordless texts are one group. In a cell of over CELL_LIMIT texts all
 members are compared with PIVOTS of them, which finds most links at little cost; all texts are then met again by
@@ -31,8 +35,6 @@ from .simhash import SEED, embedding
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, ROWS = 16, 5
 CELL_LIMIT, PIVOTS = 64, 16
-#: Of the 80 sampled shingles' low bytes, pairs of similarity 0.8 agree in 64 on average, with a deviation of 3.6.
-LEAST_AGREEING = 50
 #: The order of shingles in `prefix` is by their counts in one text of ORDER_PART, of at most ORDER_LIMIT shingles.
 ORDER_PART, ORDER_LIMIT = 64, 20_000
 _RNG = np.random.default_rng(7)
@@ -75,29 +77,45 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """The parity bits of the shingles: at least two bits for each, a power of two of them."""
+    width = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one of two texts only."""
+    x, y = (np.frombuffer(bits, np.uint8) for bits in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum(dtype=np.int64))
+
+
+def most_difference(sizes: int) -> int:
+    """At most so many shingles are in one of two similar texts only, of sizes shingles together."""
+    return int(sizes * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6)
+
+
 def _mark(common: tuple[np.ndarray, np.ndarray]):
     import xxhash
 
     def run(texts: pa.Array):
-        ids, prints, bytes_, sizes, firsts = [], [], [], [], []
+        ids, prints, bits, sizes, firsts = [], [], [], [], []
         for text in texts.to_pylist():
             words = (text or "").encode().lower().split()
             hashes = shingle_hashes(words)
-            sampled = sample(hashes)
             sizes.append(len(hashes))
             firsts.append(prefix(hashes, common).view(np.int64))
             ids.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
-            prints.append(fingerprints(sampled))
-            bytes_.append(sampled.astype(np.uint8).tobytes())
-        return [pa.array(ids, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(bytes_, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            prints.append(fingerprints(sample(hashes)))
+            bits.append(parity(hashes))
+        return [pa.array(ids, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
 
     return run
 
 
-def _agree(batches):
+def _close(batches):
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SAMPLES * ROWS) for c in ("sa", "sb"))
-        yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= LEAST_AGREEING))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")), strict=True)
+        yield batch.select(["a", "b"]).filter(pa.array([least_difference(x, y) <= most_difference(m + n) for x, y, m, n in rows], pa.bool_()))
 
 
 def _similar(batches):
@@ -112,12 +130,10 @@ def _similar(batches):
         yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, marked: DataFrame, sampled: bool = True) -> DataFrame:
-    """Those of pairs(a, b) that are similar enough; if sampled, without those whose sampled shingles agree too seldom."""
-    if sampled:
-        sides = [reps.select(F.col("v").alias(c), F.col("bytes").alias(f"s{c}")) for c in "ab"]
-        pairs = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
-    likely = stored(pairs, "likely")
+def _verified(pairs: DataFrame, reps: DataFrame, marked: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that are similar enough."""
+    sides = [reps.select(F.col("v").alias(c), F.col("bits").alias(f"s{c}"), F.col("size").alias(f"n{c}")) for c in "ab"]
+    likely = stored(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_close, "a long, b long"), "likely")
     wanted = likely.select(F.col("a").alias("v")).unionByName(likely.select(F.col("b").alias("v"))).distinct()
     texts = stored(marked.join(wanted, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text")), "texts")
     sides = [texts.select(F.col("v").alias(c), F.col("text").alias(f"t{c}")) for c in "ab"]
@@ -153,7 +169,7 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def remainder(found: DataFrame, reps: DataFrame, marked: DataFrame) -> DataFrame:
-    """(a, b): the similar pairs of reps(v, size, prefix, bytes) that the links found leave in two components, without loss.
+    """(a, b): the similar pairs of reps(v, size, prefix, bits) that the links found leave in two components, without loss.
 
     Pairs meet by a shingle that both have in their prefixes. A cell whose texts are all in one component has nothing to
     add; in the others each text outside the cell's largest component is compared with all texts of other components. A
@@ -169,12 +185,12 @@ def remainder(found: DataFrame, reps: DataFrame, marked: DataFrame) -> DataFrame
     a, b = (members.select("cell", "top", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "size", "root", "left"))) for side in "ab")
     both = a.where("root_a <> top").join(b.drop("top"), "cell").where("root_a <> root_b and (root_b = top or v_a < v_b)")
     pairs = both.where(F.least("left_a", "left_b") >= F.ceil((F.col("size_a") + F.col("size_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6))
-    return _verified(pairs.select(F.least("v_a", "v_b").alias("a"), F.greatest("v_a", "v_b").alias("b")).distinct(), reps, marked, sampled=False)
+    return _verified(pairs.select(F.least("v_a", "v_b").alias("a"), F.greatest("v_a", "v_b").alias("b")).distinct(), reps, marked)
 
 
 def links(marked: DataFrame) -> DataFrame:
-    """(a, b): enough pairs of similar texts of marked(v, prints, bytes, size, prefix, text) to connect each group."""
-    reps = stored(marked.groupBy("v").agg(*(F.first(c).alias(c) for c in ("prints", "bytes", "size", "prefix"))), "distinct")
+    """(a, b): enough pairs of similar texts of marked(v, prints, bits, size, prefix, text) to connect each group."""
+    reps = stored(marked.groupBy("v").agg(*(F.first(c).alias(c) for c in ("prints", "bits", "size", "prefix"))), "distinct")
     members, cell = reps.select("v", F.posexplode(F.transform("prints", embedding)).alias("grid", "cell")), ["grid", "cell"]
     sizes = stored(members.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     members = stored(members.join(sizes, cell), "members")
@@ -190,7 +206,7 @@ def links(marked: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, v, class_id) for every row: the hash of its text and the least id among its near copies, linked by any chain."""
     light = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    made = [StructField("v", LongType(), False), StructField("prints", ArrayType(LongType()), False), StructField("bytes", BinaryType(), False), StructField("size", LongType(), False), StructField("prefix", ArrayType(LongType()), False)]
+    made = [StructField("v", LongType(), False), StructField("prints", ArrayType(LongType()), False), StructField("bits", BinaryType(), False), StructField("size", LongType(), False), StructField("prefix", ArrayType(LongType()), False)]
     common = commoner(light)
     marked = stored(map_columns(light, ["text"], made, lambda: _mark(common)), "marked")
     rooted = components(links(marked)).withColumnRenamed("node", "v")

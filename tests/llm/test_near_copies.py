@@ -74,3 +74,18 @@ def test_prefixes_of_similar_sets_meet_in_any_order():
         a, b = (np.sort(rng.permutation(every)[rng.integers(0, 1 + len(every) // 8) :]) for _ in "ab")
         if N.similarity(a, b) >= N.SIMILARITY:
             assert set(N.prefix(a, counts).tolist()) & set(N.prefix(b, counts).tolist())
+
+
+def test_parity_never_rules_out_similar_sets():
+    import numpy as np
+
+    rng, ruled_out = np.random.default_rng(2), 0
+    for _ in range(400):
+        every = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900), dtype=np.uint64))
+        a, b = (np.sort(rng.permutation(every)[rng.integers(0, 1 + len(every) // 4) :]) for _ in "ab")
+        difference = len(np.setxor1d(a, b))
+        bound = N.least_difference(N.parity(a), N.parity(b))
+        assert bound == N.least_difference(N.parity(b), N.parity(a)) <= difference
+        assert (N.similarity(a, b) >= N.SIMILARITY) == (difference <= N.most_difference(len(a) + len(b)))
+        ruled_out += difference > 1.3 * N.most_difference(len(a) + len(b)) and bound > N.most_difference(len(a) + len(b))
+    assert ruled_out > 60
