@@ -1,13 +1,14 @@
 """SimHash near-duplicates by segment-popcount embedding.
 
 A document's fingerprint has the bits that are set in over half of its word shingles' XXH64. Fingerprints map to the
-counts of set bits in 32 segments of two bits, in unary code, so that the Manhattan distance of two count vectors, never
-more than the Hamming distance of the fingerprints, is the number of differing code bits. The count space is cut into
-GROUPS groups of segments; vectors within distance `bits` agree in all but `bits` groups, so an equi-join on the grid
-cells of all choices of the other groups meets every near pair. The Manhattan bound, then the exact distance, filter.
+counts of set bits in 32 segments of two bits, held in unary code, so that the Manhattan distance of two count vectors, never
+more than the Hamming distance of the fingerprints, is the number of differing code bits. The segments are cut into
+bits // 2 + 1 groups; vectors within Manhattan distance `bits` are within distance 1 in one group at least. Each group's
+counts are a cell of a grid, and a range join meets every near pair: a fingerprint probes its own cell and those with one
+count raised by one (the pair's other side probes downwards). The Manhattan bound, then the exact distance, filter.
 
-A cell with more than CELL_LIMIT fingerprints is not joined pair by pair. For the members of such cells, points within 1
-bit of one fingerprint and within bits - 1 of others link all of those to it, exactly and in as many rows as members.
+In a cell where more than CELL_LIMIT ** 2 pairs would meet nothing is paired. For the members of such cells, points within
+1 bit of one fingerprint and within bits - 1 of others link all of those to it, exactly and in as many rows as members.
 
 Null, empty and wordless texts have fingerprint zero and are linked like any other. Texts of fewer words than a shingle
 have one shingle of all their words. A null id is never smallest; a class of null ids only has a null class id. Repeated
@@ -16,8 +17,6 @@ rows and extra columns are kept; columns with an output's name are replaced. An
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,7 +26,6 @@ from .common import map_columns, stored, without
 from .components import components
 
 SHINGLE, BITS, SEED = 3, 3, 42
-GROUPS = 6
 CELL_LIMIT = 256
 _LOW = 0x5555555555555555
 
@@ -74,28 +72,47 @@ def embedding(v: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def cell_masks(bits: int = BITS, groups: int = GROUPS) -> list[int]:
-    """The code bits of every choice of groups - bits groups."""
-    of = [0] * groups
-    for segment in range(32):
-        of[segment * groups // 32] |= 3 << 2 * segment
-    return [sum(of[g] for g in chosen) for chosen in combinations(range(groups), groups - bits)]
+def groups_of(bits: int = BITS) -> list[list[int]]:
+    """The segments of each group."""
+    n = bits // 2 + 1
+    return [[s for s in range(32) if s * n // 32 == g] for g in range(n)]
+
+
+def _cells(e: Column, bits: int) -> Column:
+    """(grid, cell) of each group."""
+    return F.array(*(F.struct(F.lit(g).alias("grid"), e.bitwiseAND(_lit(sum(3 << 2 * s for s in segments))).alias("cell")) for g, segments in enumerate(groups_of(bits))))
+
+
+def _raised(e: Column, bits: int) -> Column:
+    """(grid, cell) of each group with the count of one segment raised by one, for every segment that has room."""
+    made = []
+    for g, segments in enumerate(groups_of(bits)):
+        cell = e.bitwiseAND(_lit(sum(3 << 2 * s for s in segments)))
+        for s in segments:
+            low, high = _lit(1 << 2 * s), _lit(2 << 2 * s)
+            more = F.when(cell.bitwiseAND(low) == 0, cell.bitwiseOR(low)).when(cell.bitwiseAND(high) == 0, cell.bitwiseOR(high))
+            made.append(F.when(more.isNotNull(), F.struct(F.lit(g).alias("grid"), more.alias("cell"))))
+    return F.array_compact(F.array(*made))
 
 
-def near_pairs(prints: DataFrame, bits: int = BITS, groups: int = GROUPS, limit: int = CELL_LIMIT) -> DataFrame:
+def near_pairs(prints: DataFrame, bits: int = BITS, limit: int = CELL_LIMIT) -> DataFrame:
     """(a, b): fingerprints of prints(v, distinct) that differ in 1 to bits bits; of pairs within crowded cells, enough to connect the same fingerprints."""
-    masks = cell_masks(bits, groups)
     e = prints.select("v", embedding(F.col("v")).alias("e"))
-    cells = e.select("v", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(_lit(m)) for m in masks))).alias("grid", "cell"))
-    crowded = stored(cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("grid", "cell"), "crowded")
-    if crowded.isEmpty():
-        calm, dense = cells, None
-    else:
-        calm = cells.join(crowded, ["grid", "cell"], "left_anti")
-        dense = stored(cells.join(crowded, ["grid", "cell"], "left_semi").select("v").distinct(), "dense")
-    a, b = calm.select("grid", "cell", F.col("v").alias("a"), F.col("e").alias("ea")), calm.select("grid", "cell", F.col("v").alias("b"), F.col("e").alias("eb"))
-    manhattan, hamming = F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))), F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = a.join(b, ["grid", "cell"]).where((F.col("a") < F.col("b")) & (manhattan <= bits) & (hamming <= bits)).select("a", "b").distinct()
+    home = e.select("v", "e", F.inline(_cells(F.col("e"), bits)))
+    raised = e.select("v", "e", F.inline(_raised(F.col("e"), bits)))
+    probes = home.withColumn("up", F.lit(False)).unionByName(raised.withColumn("up", F.lit(True)))
+    met = home.select("grid", "cell", F.lit(1).alias("h"), F.lit(0).alias("p")).unionByName(probes.select("grid", "cell", F.lit(0).alias("h"), F.lit(1).alias("p")))
+    met = met.groupBy("grid", "cell").agg(F.sum("h").alias("h"), F.sum("p").alias("p"))
+    crowded = stored(met.where(F.col("h") * F.col("p") > limit**2).select("grid", "cell"), "crowded")
+    dense = None
+    if not crowded.isEmpty():
+        inside = lambda df: df.join(crowded, ["grid", "cell"], "left_semi").select("v")
+        dense = stored(inside(home).unionByName(inside(raised)).distinct(), "dense")
+        home, probes = (df.join(crowded, ["grid", "cell"], "left_anti") for df in (home, probes))
+    a, b = probes.select("grid", "cell", F.col("v").alias("p"), F.col("e").alias("ep"), "up"), home.select("grid", "cell", F.col("v").alias("h"), F.col("e").alias("eh"))
+    manhattan, hamming = F.bit_count(F.col("ep").bitwiseXOR(F.col("eh"))), F.bit_count(F.col("p").bitwiseXOR(F.col("h")))
+    near = a.join(b, ["grid", "cell"]).where((F.col("up") | (F.col("p") < F.col("h"))) & (manhattan <= bits) & (hamming <= bits))
+    pairs = near.select(F.least("p", "h").alias("a"), F.greatest("p", "h").alias("b")).distinct()
     return pairs if dense is None else pairs.unionByName(_dense_links(dense, bits))
 
 

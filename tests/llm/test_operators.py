@@ -59,8 +59,8 @@ def test_simhash_query(spark, texts):
     assert {tuple(r) for r in queries.op1_simhash(spark, SF).collect()} == want
 
 
-@pytest.mark.parametrize("limit", [256, 2])
-def test_near_pairs_connect_as_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "bits"), [(256, 3), (2, 3), (256, 1), (256, 2), (1, 2), (256, 4)])
+def test_near_pairs_connect_as_brute_force(spark, limit, bits):
     rng = random.Random(5)
     points = set()
     for _ in range(5):
@@ -71,10 +71,10 @@ def test_near_pairs_connect_as_brute_force(spark, limit):
                 x ^= 1 << rng.randrange(64)
             points.add(x)
     v = np.array(sorted(points), np.uint64).view(np.int64).tolist()
-    links = [(a, b) for a in range(len(v)) for b in range(a) if ((v[a] ^ v[b]) & (2**64 - 1)).bit_count() <= 3]
+    links = [(a, b) for a in range(len(v)) for b in range(a) if ((v[a] ^ v[b]) & (2**64 - 1)).bit_count() <= bits]
     roots = find_roots(len(v), links)
     df = spark.createDataFrame([(x,) for x in v], "v long")
-    got = {r["node"]: r["root"] for r in components(S.near_pairs(df, limit=limit)).collect()}
+    got = {r["node"]: r["root"] for r in components(S.near_pairs(df, bits, limit)).collect()}
     groups = lambda of: sorted(map(sorted, collections.defaultdict(list, {k: [x for x, y in of if y == k] for k in {y for _, y in of}}).values()))
     assert groups([(x, got.get(x, x)) for x in v]) == groups([(x, v[r]) for x, r in zip(v, roots, strict=True)])
 
@@ -89,6 +89,19 @@ def test_manhattan_never_exceeds_hamming(spark):
         assert r["m"] == sum(abs(count(r["a"], i) - count(r["b"], i)) for i in range(32)) <= ((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count()
 
 
+def test_raised_cells_are_the_neighbours(spark):
+    rng = random.Random(8)
+    v = [rng.getrandbits(64) - 2**63 for _ in range(50)]
+    df = spark.createDataFrame([(x,) for x in v], "v long").select("v", S.embedding(F.col("v")).alias("e"))
+    count = lambda x, s: (x >> 2 * s & 3).bit_count()
+    for r in df.select("v", S._cells(F.col("e"), 3).alias("own"), S._raised(F.col("e"), 3).alias("raised")).collect():
+        own = dict(r["own"])
+        assert own == {g: sum((0, 1, 3)[count(r["v"], s)] << 2 * s for s in segments) - (1 << 64 if g == 1 and count(r["v"], 31) == 2 else 0) for g, segments in enumerate(S.groups_of(3))}
+        want = {(g, s) for g, segments in enumerate(S.groups_of(3)) for s in segments if count(r["v"], s) < 2}
+        got = [(g, [s for s in range(32) if count(cell, s) != count(own[g], s)]) for g, cell in r["raised"]]
+        assert {(g, s[0]) for g, s in got} == want and len(got) == len(want) and all(len(s) == 1 for _, s in got)
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(300))
     df = spark.createDataFrame([(3, text), (2, text), (2, text), (5, "other words here"), (5, "other words here"), (None, "alone"), (None, "alone")], "doc_id long, text string")
