@@ -5,6 +5,7 @@ Floats are rounded to four places on both sides, and every limit follows a total
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -68,7 +69,32 @@ def inv_index_stats(spark, d):
 
 @query(f"WITH {_TF} SELECT doc_id FROM tf WHERE term IN ('the', 'that') GROUP BY doc_id HAVING count(*) = 2 ORDER BY doc_id LIMIT 3")
 def boolean_and_top(spark, d):
-    return inverted.boolean_and(inverted.boolean_postings(t(spark, d, "documents"), F.col("text")), KEYWORDS).orderBy("doc_id").limit(3)
+    return inverted.boolean_search(t(spark, d, "documents"), F.col("text"), KEYWORDS).orderBy("doc_id").limit(3)
+
+
+@query(f"WITH {_TF} SELECT doc_id FROM tf WHERE term IN ('the', 'that') GROUP BY doc_id HAVING count(*) = 2")
+def boolean_and_postings(spark, d):
+    return inverted.boolean_and(inverted.boolean_postings(t(spark, d, "documents"), F.col("text")), KEYWORDS)
+
+
+def _limits(weight: str) -> str:
+    return f"WITH {_TF}, c AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT term, doc_id, tf, round({weight} * log2(c.n * 1.0 / df.df), 4) AS score FROM tf JOIN df USING (term), c"
+
+
+@query(_limits("1.0"))
+def bm25_k_zero(spark, d):
+    return inverted.bm25_postings(t(spark, d, "documents"), F.col("text"), b=0.75, k=0.0).withColumn("score", F.round("score", 4))
+
+
+@query(_limits("tf.tf"))
+def bm25_k_infinite(spark, d):
+    return inverted.bm25_postings(t(spark, d, "documents"), F.col("text"), b=0.0, k=math.inf).withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {_BM25}, s AS (SELECT doc_id, round(sum(score), 4) AS score FROM post WHERE term IN ('the', 'that') GROUP BY doc_id) SELECT doc_id, score, (SELECT count(*) FROM s) AS total FROM s ORDER BY score DESC, doc_id LIMIT 3")
+def bm25_total_hits(spark, d):
+    postings = inverted.bm25_postings(t(spark, d, "documents"), F.col("text"), terms=KEYWORDS)
+    return inverted.search_with_total(postings, "the that", 3, digits=4)
 
 
 @query(f"WITH {_BM25} SELECT term, doc_id, tf, round(score, 4) AS score FROM post")
@@ -139,7 +165,7 @@ def _measures(spark, d):
     docs = t(spark, d, "documents")
     terms = sorted({w for s in SETS.values() for w in s.split()})
     scored = inverted.ranked(inverted.bm25_postings(docs, F.col("text"), terms=terms), inverted.query_terms(spark, SETS)).withColumn("score", F.round("score", 4))
-    results = evaluation.with_ranks(scored)
+    results = evaluation.with_ranks(scored, len(SETS))
     numbers = spark.createDataFrame([(q,) for q in SETS], "query_id long")
     qrels = t(spark, d, "labels").where("quality = 1").select("doc_id").distinct().crossJoin(F.broadcast(numbers))  # three queries
     return numbers, results, qrels
@@ -216,9 +242,12 @@ def join_two_key(spark, d):
 
 @query("SELECT r_name, n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM region, nation, customer, orders WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey GROUP BY r_name, n_name")
 def join_chain_comma(spark, d):
-    for name in ("region", "nation", "customer", "orders"):
-        t(spark, d, name).createOrReplaceTempView(name)
-    return spark.sql(_oracles["join_chain_comma"])
+    customers = rel.project(rel.join(t(spark, d, "customer"), t(spark, d, "nation"), 2, 0), [0, 6, 7])
+    named = rel.project(rel.join(customers, t(spark, d, "region"), 2, 0), [0, 1, 4])
+    orders = rel.project(t(spark, d, "orders"), [1, 3])
+    joined = rel.project(rel.join(orders, named, 0, 0), [4, 3, 0, 1])
+    rounded = lambda c: F.round(rel.total(c), 2)
+    return rel.group_by(joined, [0, 1], [(2, rel.count_rows), (3, rounded)]).toDF("r_name", "n_name", "n_orders", "total")
 
 
 @query("SELECT r_name, n_name FROM region, nation")
@@ -459,3 +488,6 @@ def cost_model(spark, d):
     second = movies.project(3).project(2).join(awards).select().project(2)
     rows = [(name, float(s.cost), float(s.rows), s.columns) for name, s in (("filter_first", first), ("join_first", second))]
     return spark.createDataFrame(rows, "plan string, cost double, n_rows double, n_columns long")
+
+
+from . import catalog_parts  # noqa: E402, F401  the queries of sources, sinks, requests and single operators

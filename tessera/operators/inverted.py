@@ -31,6 +31,16 @@ def boolean_postings(docs: DataFrame, text: Column, doc_id: str = "doc_id") -> D
     return docs.select(F.explode(F.array_distinct(keywords(text))).alias("term"), F.col(doc_id).alias("doc_id"))
 
 
+def boolean_search(docs: DataFrame, text: Column, terms: list[str], doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id) of documents that hold every term, by one scan without a shuffle. No terms give none."""
+    found = docs.select(F.col(doc_id).alias("doc_id"), keywords(text).alias("tokens"))
+    if not terms:
+        return found.select("doc_id").limit(0)
+    for term in sorted(set(terms)):
+        found = found.where(F.array_contains("tokens", term))
+    return found.select("doc_id")
+
+
 def boolean_and(postings: DataFrame, terms: list[str], exact: bool = True) -> DataFrame:
     """(doc_id) of documents that hold every term. No terms, or an unknown one, give none. exact: (term, doc_id) are distinct."""
     wanted = sorted(set(terms))
@@ -56,15 +66,23 @@ def _weight(tf: Column, alpha: Column, k: float) -> Column:
 
 
 def bm25_postings(docs: DataFrame, text: Column, doc_id: str = "doc_id", b: float = 0.75, k: float = 1.75, terms: list[str] | None = None) -> DataFrame:
-    """(term, doc_id, tf, score). With terms, only their postings are made; the figures are those of the whole corpus."""
+    """(term, doc_id, tf, score). With terms, only their postings are made; the figures are those of the whole corpus.
+
+    The documents are read once: beside its terms each one enters the counts under the empty term, whose rows give the
+    number and the mean length of documents.
+    """
     sized = docs.select(F.col(doc_id).alias("doc_id"), keywords(text).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("dl"))
-    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avdl"))
     tokens = "tokens"
     if terms is not None:
         wanted = F.array(*(F.lit(t) for t in sorted(set(terms)))) if terms else F.array().cast("array<string>")
         sized, tokens = sized.withColumn("own", F.filter("tokens", lambda t: F.array_contains(wanted, t))), "own"
-    tf = sized.select("doc_id", "dl", F.explode(tokens).alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    joined = tf.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").crossJoin(F.broadcast(corpus))  # corpus is one row
+    tf = sized.select("doc_id", "dl", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("term")).where("term is not null")
+    tf = tf.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # conditions on both a key and a count stay above the exchange, so that all three uses share it
+    is_term = F.when(F.col("term") != "", F.col("tf")).isNotNull()
+    corpus = tf.where(~is_term).agg(F.count("tf").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avdl"))
+    df = tf.where(is_term).groupBy("term").agg(F.count("tf").alias("df"))
+    joined = tf.where(is_term).join(df, "term").crossJoin(F.broadcast(corpus))  # corpus is one row
     alpha = 1 - b + b * F.col("dl") / F.col("avdl")
     return joined.select("term", "doc_id", "tf", (_weight(F.col("tf"), alpha, k) * F.log2(F.col("n") / F.col("df"))).alias("score"))
 
@@ -96,6 +114,13 @@ def search(postings: DataFrame, query: str, k: int | None = None, digits: int |
     return found if k is None else found.limit(k)
 
 
+def search_with_total(postings: DataFrame, query: str, k: int, digits: int | None = None) -> DataFrame:
+    """The first k rows of search with total, the number of all documents found."""
+    found = search(postings, query, digits=digits)
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.limit(k).crossJoin(F.broadcast(total)).orderBy(F.desc("score"), "doc_id")  # total is one row
+
+
 def matrix_search(postings: DataFrame, docs: DataFrame, query: str, doc_id: str = "doc_id") -> DataFrame:
     """As search, with every document: those without a term score 0."""
     return docs.select(F.col(doc_id).alias("doc_id")).join(search(postings, query), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc_id")
@@ -114,7 +139,7 @@ def highlight(text: Column, terms: list[str], before: str = "\033[1;31m", after:
     """Whole words among terms, in any case, between the marks."""
     if not terms:
         return text
-    some = "|".join(sorted(set(terms), key=lambda t: (-len(t), t)))
+    some = "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
     return F.regexp_replace(text, rf"(?i)\b({some})\b", f"{before}$1{after}")
 
 

@@ -7,6 +7,7 @@ DataFrame; nothing is collected. An order is only kept where a caller asks for o
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -175,6 +176,23 @@ def top_with_ties(df: DataFrame, group: Sequence[str], value: str, label: str, s
     return tied.groupBy(*group).agg(F.max("__best").alias(value), F.array_join(F.array_sort(F.collect_set(label)), separator).alias(label))
 
 
+def top_with_one(df: DataFrame, group: Sequence[str], value: str, label: str) -> DataFrame:
+    """For each group the greatest value and one label that has it: the first in order, where SQL leaves the choice open."""
+    best = F.max_by(F.col(label), F.col(value))
+    tied = df.groupBy(*group, value).agg(F.min(label).alias(label))  # one row for each value, so that the pick is determined
+    return tied.groupBy(*group).agg(F.max(value).alias(value), best.alias(label))
+
+
+def opaque(fn: Callable[[pd.Series], object], kind: str) -> Aggregate:
+    """An aggregate for group_by from any function of a group's values, nulls included. It runs in Python on a whole group at a
+    time, so groups must fit in a task; prefer the aggregates above."""
+
+    def aggregate(values: pd.Series) -> Any:
+        return fn(values)
+
+    return F.pandas_udf(aggregate, kind)  # type: ignore[call-overload,return-value]
+
+
 def top_then_lookup(ranked: DataFrame, order: Sequence[Column], n: int, other: DataFrame, key: str) -> DataFrame:
     """The first n rows, then a join on a key that occurs exactly once in other: as the join first, but over n rows."""
     return ranked.orderBy(*order).limit(n).join(other, key)

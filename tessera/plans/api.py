@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from http.server import BaseHTTPRequestHandler, HTTPServer
-from urllib.parse import parse_qs, urlsplit
+from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -49,14 +49,14 @@ def relations_json(index: Index, entity: str) -> str:
     return json.dumps([{"predicate": r["predicate"], "object": r["objects"]} for r in rows], ensure_ascii=False)
 
 
-def similar_documents(index: Index, vectors: DataFrame, title: str, k: int) -> DataFrame:
+def similar_documents(index: Index, vectors: DataFrame, title: str, k: int, digits: int | None = None) -> DataFrame:
     """The nearest k + 1 documents, itself first, of the entity whose name is nearest to title; vectors(ent_id, vec)."""
     prefix = fuzzy.normalized(title)
     best = fuzzy.find_matches(index.postings, index.names, index.entities, prefix, q=index.q, k=1).first()
     if best is None:
         return vectors.select("ent_id", F.lit(0.0).alias("sim")).limit(0)
     query = vectors.where(F.col("ent_id") == best["ent_id"]).first()
-    return similarity.top_k(vectors, list(query["vec"]) if query else [], k + 1, "ent_id")
+    return similarity.top_k(vectors, list(query["vec"]) if query else [], k + 1, "ent_id", digits=digits)
 
 
 def respond(index: Index, method: str, target: str) -> tuple[int, str]:
@@ -64,6 +64,8 @@ def respond(index: Index, method: str, target: str) -> tuple[int, str]:
     if method != "GET":
         return 405, json.dumps({"error": "only GET is allowed"})
     url = urlsplit(target)
+    if ".." in unquote(url.path).split("/"):
+        return 403, json.dumps({"error": "outside the served paths"})
     params = parse_qs(url.query)
     if url.path == "/api/search" and "q" in params:
         return 200, search_json(index, params["q"][0])

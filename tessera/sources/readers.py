@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+#: Partitions of a text up to which their first line numbers are broadcast.
+BROADCAST_PARTS = 100_000
 TSV = {"sep": "\t", "quote": "", "encoding": "UTF-8"}
 DOCUMENT_FIELDS = ["title", "description", "num_ratings", "rating", "num_sitelinks"]
 
@@ -38,17 +42,14 @@ def untyped_tsv(spark: SparkSession, path: str, columns: list[str], view: str |
 
 
 def _line_numbers(lines: DataFrame) -> DataFrame:
-    """doc_id: 1-based line number, without bringing the lines to one task: each partition's count is added up first."""
+    """line: 1-based line number, without bringing the lines to one task: the partitions' counts are added up first and joined."""
     marked = lines.select("value", F.monotonically_increasing_id().alias("m"))
     marked = marked.select("value", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("at"))
-    counts = {r["part"]: r["n"] for r in marked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
-    first, total = {}, 0
-    for part in sorted(counts):
-        first[part], total = total, total + counts[part]
-    if not first:
-        return marked.select("value", F.lit(0).cast("long").alias("line"))
-    start = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
-    return marked.select("value", (start[F.col("part").cast("int")] + F.col("at") + 1).cast("long").alias("line"))
+    counts = marked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a partition
+    starts = list(accumulate((r["n"] for r in counts), initial=0))
+    table = lines.sparkSession.createDataFrame([(r["part"], s) for r, s in zip(counts, starts)], "part long, start long")
+    table = F.broadcast(table) if len(counts) <= BROADCAST_PARTS else table
+    return marked.join(table, "part").select("value", (F.col("start") + F.col("at") + 1).alias("line"))
 
 
 def documents_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -102,6 +103,6 @@ def run_sql(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(sql)
 
 
-def sparql_file(path: str) -> str:
-    with open(path, encoding="utf-8") as f:
-        return f.read()
+def sparql_file(spark: SparkSession, path: str) -> str:
+    """The text of a query file in any store that Spark reads."""
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())

@@ -1,4 +1,4 @@
-"""Sinks."""
+"""Sinks, and statistics of what they wrote."""
 
 from __future__ import annotations
 
@@ -15,6 +15,15 @@ def write_triples(triples: DataFrame, path: str) -> None:
     triples.repartitionByRange("predicate", "object").sortWithinPartitions("predicate", "object").write.mode("overwrite").parquet(path)
 
 
+def statistics(df: DataFrame) -> DataFrame:
+    """(name, n, n_null, n_distinct, low, high) of each column, values as text: one pass and one row for each column."""
+    made = [f for c in df.columns for f in (F.count(F.lit(1)), F.count_if(F.col(f"`{c}`").isNull()), F.count_distinct(F.col(f"`{c}`")), F.min(F.col(f"`{c}`")).cast("string"), F.max(F.col(f"`{c}`")).cast("string"))]
+    fields = ("n", "n_null", "n_distinct", "low", "high")
+    row = df.agg(*(f.alias(f"__{i}") for i, f in enumerate(made)))
+    each = [F.struct(F.lit(c).alias("name"), *(F.col(f"__{5 * k + i}").alias(f) for i, f in enumerate(fields))) for k, c in enumerate(df.columns)]
+    return row.select(F.inline(F.array(*each)))
+
+
 def append_report(measures: DataFrame, path: str) -> None:
     measures.write.mode("append").parquet(path)
 

@@ -10,6 +10,9 @@ from tessera.operators import fuzzy, similarity, sparql
 from tessera.plans import api
 
 
+# The names, facts and expected values below are fixed values that any implementation must give.
+
+
 def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
@@ -115,7 +118,7 @@ def test_cosine(spark, v, want):
 def test_api(spark, index):
     status, body = api.respond(index, "GET", "/api/search?q=Frei")
     assert status == 200 and json.loads(body)["total"] == 2 and json.loads(body)["results"][0]["name"] == "frei"
-    assert api.respond(index, "POST", "/api/search?q=a")[0] == 405 and api.respond(index, "GET", "/../x")[0] == 404
+    assert api.respond(index, "POST", "/api/search?q=a")[0] == 405 and api.respond(index, "GET", "/../x")[0] == 403
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "ent_id long, vec array<double>")
     assert [r[0] for r in api.similar_documents(index, vectors, "frei", 1).collect()] == [1, 2]
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as ev, inverted as inv
 
+# Documents and the scores that any implementation must give for them.
 DOCS = [(1, "Movie", "Animated movie."), (2, "Movie", "Non-animated film."), (3, "Movie", "Short animation."), (4, "Movie", "Short animated short film.")]
 
 
