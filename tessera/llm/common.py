@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..sources.scratch import fresh_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_SHARED_DIR = "/tmp/checkpoints"
 #: Text bytes that one call of a batch function sees at most, but for a single longer row.
 SLICE_BYTES = 4 << 20
 
@@ -20,20 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a default of our own where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or LOCAL_SHARED_DIR
-
-
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/{tag}"
+    path = fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _allocator() -> ctypes.CDLL | None:
+    """The C library, told to take large blocks from the system one by one; None where it isn't glibc."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: a fixed one, else it grows to 32 MB and freed arrays stay
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers are kept between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if libc := _allocator():
+        libc.malloc_trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character as it is."""
     return F.translate(c, UPPER, LOWER)
@@ -64,11 +77,17 @@ def map_columns(df: DataFrame, inputs: list[str], outputs: list[StructField], ma
     out_names = [f.name for f in kept] + [f.name for f in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _allocator()
         fn = make()
         for batch in batches:
+            part = made = None
             for part in slices(batch, take_at[0]):
                 made = fn(*(part.column(i) for i in take_at))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in keep_at] + list(made), names=out_names)
+            del batch, part, made
+            give_back()
+        del fn
+        give_back()
 
     return df.mapInArrow(run, StructType(kept + outputs))
 

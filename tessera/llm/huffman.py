@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
-from .common import map_columns, shared_dir, stored
+from ..sources.scratch import fresh_path
+from .common import give_back, map_columns, stored
 from .pieces import Encode, encode_texts
 
 MAX_LENGTH = 16
@@ -197,7 +197,7 @@ def write(docs: DataFrame, path: str, end_id: int, vocab: int, folder: str | Non
     The driver gets one row for each id of the vocabulary.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/ids"
+    folder = folder or fresh_path(spark, "ids")
     tokens = stored(tokenize(docs, path, end_id, vocab, id_col, text_col), "tokens")
     dtype = id_type(vocab)
 
@@ -234,6 +234,8 @@ def write(docs: DataFrame, path: str, end_id: int, vocab: int, folder: str | Non
                 size += row[1]
         if held:
             yield flush()
+        held.clear()
+        give_back()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.repartitionByRange(parts, "doc").sortWithinPartitions(F.col("doc").asc_nulls_first(), "h")
@@ -265,6 +267,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first[part] + before + ends - counts), pa.array(counts), lists], names=["doc", "start", "n_tokens", "ids"])
+            give_back()
 
     return blocks.select("part", "before", "block").mapInArrow(run, "doc long, start long, n_tokens long, ids array<int>")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from .common import map_columns, stored
+from .common import give_back, map_columns, stored
 from .components import components
 from .simhash import SEED, embedding
 
@@ -128,6 +128,8 @@ def _similar(batches):
             if len(known) > 256:
                 known.clear()
         yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+        del known
+        give_back()
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, marked: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
-from .common import slices, stored
+from .common import give_back, slices, stored
 
 SLICE_BYTES = 16 << 20
 BUCKETS = 4
@@ -192,6 +192,7 @@ def _dealt(n_buckets: int):
                 last = np.append(first[1:], len(of))
                 made = [pack_pieces(_strings(bounds[x : y + 1] - bounds[x], data[bounds[x] : bounds[y]])) for x, y in zip(first.tolist(), last.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([_named(b.column(0))] * len(names), pa.int64()), pa.array(made, pa.binary())], names=["bucket", "slice", "pieces"])
+                give_back()
 
     return run
 
@@ -211,6 +212,8 @@ def _encoded(make: Callable[[], Encode]):
             own = index[at : at + len(bounds) - 1]
             at += len(own)
             made.append(struct.pack("<I", len(own)) + pack_ints(np.concatenate([sizes[own], gather(flat, starts, sizes, own)[0]])))
+        del flat, index, coded, parts
+        give_back()
         return pa.table({"slice": rows.column("slice"), "bucket": rows.column("bucket"), "ids": pa.array(made, pa.binary())})
 
     return run
@@ -251,6 +254,8 @@ def encode_texts(docs: DataFrame, text_col: str, make: Callable[[], Encode], out
                 rows = pa.StructArray.from_arrays([b.column(i) for i in keep_at], names=[f"c{i}" for i in range(len(keep_at))])
                 blobs = [pa.array([pack_ints(x)], pa.binary()) for x in (rank[codes], counts, place[common])]
                 yield pa.RecordBatch.from_arrays([pa.array([_named(b.column(text_at))], pa.int64()), *blobs, pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), rows)], names=["slice", "codes", "counts", "place", "rows"])
+                del codes, words, rank, place, common, blobs
+                give_back()
 
     n_buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col(f"`{names[text_at]}`")).mapInArrow(_dealt(n_buckets), "bucket long, slice long, pieces binary")
@@ -276,6 +281,8 @@ def encode_texts(docs: DataFrame, text_col: str, make: Callable[[], Encode], out
             offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts.astype(np.int64))])]
             rows = left.column("rows").slice(k, 1).combine_chunks().flatten()
             made.append(pa.Table.from_arrays([*rows.flatten(), *pack(ids, offsets)], names=arrow.names).cast(arrow))
+        del flat, size, starts, runs, sizes
+        give_back()
         return pa.concat_tables(made) if made else arrow.empty_table()
 
     slices_ = docs.mapInArrow(coded, StructType.fromDDL("slice long, codes binary, counts binary, place binary").add("rows", ArrayType(own)))
