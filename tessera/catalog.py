@@ -94,7 +94,7 @@ def bm25_k_infinite(spark, d):
 @query(f"WITH {_BM25}, s AS (SELECT doc_id, round(sum(score), 4) AS score FROM post WHERE term IN ('the', 'that') GROUP BY doc_id) SELECT doc_id, score, (SELECT count(*) FROM s) AS total FROM s ORDER BY score DESC, doc_id LIMIT 3")
 def bm25_total_hits(spark, d):
     postings = inverted.bm25_postings(t(spark, d, "documents"), F.col("text"), terms=KEYWORDS)
-    return inverted.search_with_total(postings, "the that", 3, digits=4)
+    return inverted.search_with_total(postings, "the that", 3, digits=4, only=True)
 
 
 @query(f"WITH {_BM25} SELECT term, doc_id, tf, round(score, 4) AS score FROM post")
@@ -104,7 +104,7 @@ def bm25_postings(spark, d):
 
 def _search(spark, d, text, **options):
     docs = t(spark, d, "documents")
-    return inverted.search(inverted.bm25_postings(docs, F.col("text"), terms=inverted.keywords_of(text)), text, **options)
+    return inverted.search(inverted.bm25_postings(docs, F.col("text"), terms=inverted.keywords_of(text)), text, only=True, **options)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(sum(score), 4) AS score FROM post WHERE term IN ('the', 'that') GROUP BY doc_id ORDER BY 2 DESC, doc_id LIMIT 10")
@@ -120,7 +120,7 @@ def bm25_repeated_keyword(spark, d):
 @query(f"WITH {_BM25} SELECT d.doc_id, round(coalesce(s.score, 0), 4) AS score FROM documents d LEFT JOIN (SELECT doc_id, sum(score) AS score FROM post WHERE term IN ('the', 'that') GROUP BY doc_id) s USING (doc_id)")
 def td_matvec_all_docs(spark, d):
     docs = t(spark, d, "documents")
-    return inverted.matrix_search(inverted.bm25_postings(docs, F.col("text"), terms=KEYWORDS), docs, "the that").withColumn("score", F.round("score", 4))
+    return inverted.matrix_search(inverted.bm25_postings(docs, F.col("text"), terms=KEYWORDS), docs, "the that", only=True).withColumn("score", F.round("score", 4))
 
 
 @query(f"WITH {_TF} SELECT doc_id, CAST(tf AS BIGINT) AS score FROM tf WHERE term = 'the' UNION ALL SELECT doc_id, CAST(0 AS BIGINT) FROM tf WHERE FALSE")

@@ -78,10 +78,10 @@ def bm25_postings(docs: DataFrame, text: Column, doc_id: str = "doc_id", b: floa
         sized, tokens = sized.withColumn("own", F.filter("tokens", lambda t: F.array_contains(wanted, t))), "own"
     tf = sized.select("doc_id", "dl", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("term")).where("term is not null")
     tf = tf.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    # conditions on both a key and a count stay above the exchange, so that all three uses share it
-    is_term = F.when(F.col("term") != "", F.col("tf")).isNotNull()
-    corpus = tf.where(~is_term).agg(F.count("tf").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avdl"))
-    df = tf.where(is_term).groupBy("term").agg(F.count("tf").alias("df"))
+    # conditions and sums that need both a key and a count stay above the exchange, so that all three uses share it
+    is_term, rows = F.col("tf") + F.length("term") > F.col("tf"), F.coalesce(F.sum(F.when(F.col("tf") > 0, 1)), F.lit(0))
+    corpus = tf.where(~is_term).agg(rows.alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avdl"))
+    df = tf.where(is_term).groupBy("term").agg(rows.alias("df"))
     joined = tf.where(is_term).join(df, "term").crossJoin(F.broadcast(corpus))  # corpus is one row
     alpha = 1 - b + b * F.col("dl") / F.col("avdl")
     return joined.select("term", "doc_id", "tf", (_weight(F.col("tf"), alpha, k) * F.log2(F.col("n") / F.col("df"))).alias("score"))
@@ -99,31 +99,31 @@ def ranked(postings: DataFrame, terms: DataFrame, n_terms: int | None = None) ->
     return postings.join(small, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("score")).alias("score"))
 
 
-def search(postings: DataFrame, query: str, k: int | None = None, digits: int | None = None) -> DataFrame:
-    """(doc_id, score) by score descending, then id. k of None keeps all."""
+def search(postings: DataFrame, query: str, k: int | None = None, digits: int | None = None, only: bool = False) -> DataFrame:
+    """(doc_id, score) by score descending, then id. k of None keeps all. only: postings hold no other terms than the query's."""
     bag = Counter(keywords_of(query))
     if not bag:
         return postings.select("doc_id", "score").limit(0)
     weight = F.lit(0)
     for term, n in sorted(bag.items()):
         weight = F.when(F.col("term") == term, F.lit(n)).otherwise(weight)
-    found = postings.where(F.col("term").isin(list(bag))).groupBy("doc_id").agg(F.sum(weight * F.col("score")).alias("score"))
+    found = (postings if only else postings.where(F.col("term").isin(list(bag)))).groupBy("doc_id").agg(F.sum(weight * F.col("score")).alias("score"))
     if digits is not None:
         found = found.withColumn("score", F.round("score", digits))
     found = found.orderBy(F.desc("score"), "doc_id")
     return found if k is None else found.limit(k)
 
 
-def search_with_total(postings: DataFrame, query: str, k: int, digits: int | None = None) -> DataFrame:
+def search_with_total(postings: DataFrame, query: str, k: int, digits: int | None = None, only: bool = False) -> DataFrame:
     """The first k rows of search with total, the number of all documents found."""
-    found = search(postings, query, digits=digits)
+    found = search(postings, query, digits=digits, only=only)
     total = found.agg(F.count(F.lit(1)).alias("total"))
     return found.limit(k).crossJoin(F.broadcast(total)).orderBy(F.desc("score"), "doc_id")  # total is one row
 
 
-def matrix_search(postings: DataFrame, docs: DataFrame, query: str, doc_id: str = "doc_id") -> DataFrame:
+def matrix_search(postings: DataFrame, docs: DataFrame, query: str, doc_id: str = "doc_id", only: bool = False) -> DataFrame:
     """As search, with every document: those without a term score 0."""
-    return docs.select(F.col(doc_id).alias("doc_id")).join(search(postings, query), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc_id")
+    return docs.select(F.col(doc_id).alias("doc_id")).join(search(postings, query, only=only), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc_id")
 
 
 def union_scored(a: DataFrame, b: DataFrame) -> DataFrame:
