@@ -91,7 +91,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, n, list_slice(w, j, j + n - 1) AS win
        FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS j FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
@@ -109,7 +109,7 @@ q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGH
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 r(h, p, v) AS (VALUES {rules}),
 m AS (SELECT page_id, host, path, h || p AS rule, v,
-             row_number() OVER (PARTITION BY page_id, host, path ORDER BY CASE WHEN h IS NULL THEN 0 ELSE length(h || p) END DESC) AS k
+             row_number() OVER (PARTITION BY page_id, host, path ORDER BY CASE WHEN h IS NULL THEN 0 ELSE length(h || p) END DESC, length(h) DESC) AS k
       FROM q LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
     }

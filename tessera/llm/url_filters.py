@@ -5,9 +5,11 @@ rule's host, times every path prefix that is as long as some rule's path. An equ
 expressions' SHA-256 finds candidate rules, equal full digests confirm them, and the longest rule wins. Only DataFrame
 functions are used.
 
-Null urls and urls without `://` have empty host and path, and no rule fits. Repeated rows stay repeated; extra columns
-stay, but for those named host, path, rule or verdict, which are replaced. Rules with a null field are ignored; of equal
-rules with different verdicts the block wins.
+Null urls and urls without `://` have empty host and path, and no rule fits; they are spread over SALTS keys of the last join.
+Urls of any length are tried whole. Of rules of one length that fit, the one with the longer host wins, which settles all
+ties. Repeated rows stay repeated; extra columns stay, but for those named host, path, rule or verdict, which are replaced.
+Rules with a null field are ignored; of equal rules with different verdicts the block wins. An empty table gives an empty
+table, and without rules every verdict is the default.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from .common import ascii_lower, without
 #: Rules up to this many are broadcast; beyond it the join shuffles on the hash prefix.
 BROADCAST_RULES = 200_000
 PREFIX_HEX = 8
+SALTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -42,7 +45,7 @@ def classify(pages: DataFrame, rules: DataFrame, url_col: str = "url", default:
     rules = rules.select(ascii_lower(F.col("host")).alias("h"), F.col("path").alias("p"), F.col("verdict").alias("v")).dropna()
     rules = rules.groupBy("h", "p").agg(F.max("v").alias("v"))
     shape = rules.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("h", r"\."))).alias("labels"), F.array_sort(F.collect_set(F.length("p"))).alias("lengths")).first()
-    base = without(pages, ["host", "path", "rule", "verdict"]).select("*", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    base = without(pages, ["host", "path", "rule", "verdict", "__salt"]).select("*", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     base = base.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
     if not shape["n"]:
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
@@ -54,10 +57,12 @@ def classify(pages: DataFrame, rules: DataFrame, url_col: str = "url", default:
     tried = keys.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(lengths).alias("n"))
     tried = tried.select("host", "path", F.sha2(F.concat("suffix", F.substring("path", F.lit(1), F.col("n"))), 256).alias("digest"))
     tried = tried.withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
-    coded = rules.select(F.concat("h", "p").alias("rule"), F.col("v").alias("verdict")).withColumn("full", F.sha2("rule", 256))
+    coded = rules.select(F.concat("h", "p").alias("rule"), F.length("h").alias("h_length"), F.col("v").alias("verdict")).withColumn("full", F.sha2("rule", 256))
     coded = coded.withColumn("prefix", F.substring("full", 1, PREFIX_HEX))
     coded = F.broadcast(coded) if shape["n"] <= BROADCAST_RULES else coded
     best = tried.join(coded, "prefix").where(F.col("digest") == F.col("full"))
-    best = best.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("best"))
+    best = best.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "h_length")).alias("best"))
     cols = [F.col(f"`{c}`") for c in base.columns if c not in ("host", "path")]
-    return base.join(best, ["host", "path"], "left").select(*cols, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    salt = F.when(F.col("host") == "", 1 + F.pmod(F.xxhash64(*cols), F.lit(SALTS))).otherwise(F.lit(0))
+    best = best.withColumn("__salt", F.lit(0).cast("long"))
+    return base.withColumn("__salt", salt).join(best, ["host", "path", "__salt"], "left").select(*cols, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
