@@ -2,18 +2,20 @@
 
 A text's words are read in windows of WINDOW words, each beginning STRIDE words after the last, the final one ending with
 the text, so that all words are scored at least once and most twice. A word's input joins a word embedding (hashed) and
-the mean embedding of its character 3- to 5-grams (hashed). Two gated recurrent layers, one for each direction, read a
+those of its character 3- to 5-grams (hashed), in part the greatest and in part the mean. Two gated recurrent layers, one for each direction, read a
 window; attention pools their states; a logistic unit gives the window's logit. A document's score is the calibrated
 logit of its worst window.
 
 Training is multiple-instance: labels hold for documents, so in each round a positive document contributes its worst
 window so far, a negative one its two worst and one at random. The first round ranks by smoothed log odds. The training
-sample is bounded by SAMPLE_POSITIVE and SAMPLE_NEGATIVE documents (those whose ids hash lowest) of at most
-SAMPLE_CHARS characters; a fifth of it is kept for calibration only. Scoring has no bounds: every window of every text.
+sample is bounded by SAMPLE_POSITIVE and SAMPLE_NEGATIVE documents, those whose ids hash lowest, and by SAMPLE_CHARS
+characters of all of them; texts in it are read whole. A fifth of it is kept for calibration only. Scoring has no bounds:
+every window of every text.
 
 Null and empty texts, and texts without words, have no window; their logit is the network's bias and so their score low.
 If the sample lacks either class, all scores are the share of positives, at most 0.5. Repeated rows, extra columns and
-empty tables pass through; columns with an output's name are replaced. Null labels and null ids are never learnt from.
+empty tables pass through; columns with an output's name are replaced. Very long texts are scored in one go of their own.
+Null labels and null ids are never learnt from; of an id with several texts the first in order is, with the label 1 if any.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
 from .common import map_columns
@@ -30,9 +32,13 @@ from .common import map_columns
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, GRAM_BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 15, 1 << 16, 8, 8, 8
 GRAMS = (3, 4, 5)
+#: Numbers of a gram of which a word gets the greatest, not the mean: one telling gram is enough.
+PEAKS = 4
 WORD_CHARS = 24
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_CHARS = 1_500, 2_500, 20_000
-ROUNDS, EPOCHS, BATCH, RATE = 2, 3, 128, 0.05
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_CHARS = 1_500, 2_500, 40_000_000
+ROUNDS, EPOCHS, BATCH, RATE, TABLE_RATE = 2, 3, 128, 0.05, 0.2
+#: Weight of the mean rate in a bucket's rate, in documents.
+PRIOR = 3.0
 THRESHOLD = 0.7
 #: Words whose inputs a worker keeps.
 CACHED_WORDS = 300_000
@@ -90,12 +96,13 @@ class Network:
         self.scale, self.shift, self.prior = 1.0, 0.0, None
 
     def inputs(self, words: np.ndarray, grams: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """The input of each word: its embedding beside the mean of its grams'."""
+        """The input of each word: its embedding beside that of its grams, the greatest of the first PEAKS numbers and the mean of the others."""
         out = np.empty((len(words), 2 * WIDTH), np.float32)
         out[:, :WIDTH] = self.p["word"][words]
         for k in range(0, len(words), 4096):
-            m = mask[k : k + 4096]
-            out[k : k + 4096, WIDTH:] = (self.p["gram"][grams[k : k + 4096]] * m[..., None]).sum(1) / np.maximum(m.sum(1), 1)[:, None]
+            m, g = mask[k : k + 4096], self.p["gram"][grams[k : k + 4096]]
+            out[k : k + 4096, WIDTH : WIDTH + PEAKS] = np.where(m[..., None], g[..., :PEAKS], -9).max(1)
+            out[k : k + 4096, WIDTH + PEAKS :] = (g[..., PEAKS:] * m[..., None]).sum(1) / np.maximum(m.sum(1), 1)[:, None]
         return out
 
     def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +174,12 @@ class Network:
             d_x += d_gates @ p[f"w{way}"].T
         d_x = d_x[:-1]
         g["word"] = _scatter(words, d_x[:, :WIDTH], WORD_BUCKETS)
-        d_c = d_x[:, WIDTH:] / np.maximum(mask.sum(1), 1)[:, None]
+        d_c = d_x[:, WIDTH + PEAKS :] / np.maximum(mask.sum(1), 1)[:, None]
         row, col = np.nonzero(mask)
-        g["gram"] = _scatter(grams[row, col], d_c[row], GRAM_BUCKETS)
+        at = np.where(mask[..., None], p["gram"][grams][..., :PEAKS], -9).argmax(1)
+        each = np.arange(len(grams))
+        peaks = [np.bincount(grams[each, at[:, k]], d_x[:, WIDTH + k], GRAM_BUCKETS).astype(np.float32)[:, None] for k in range(PEAKS)]
+        g["gram"] = np.concatenate([*peaks, _scatter(grams[row, col], d_c[row], GRAM_BUCKETS)], 1)
         return g
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
@@ -198,7 +208,7 @@ class _Corpus:
         self.owner, self.rows = np.array(owner, np.int64), np.array(rows, np.int64).reshape(-1, WINDOW)
         self.live = self.rows >= 0
 
-    def log_odds(self, labels: np.ndarray, prior: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    def log_odds(self, labels: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
         """For word and gram buckets: how much oftener positive documents hold them, smoothed."""
         out = []
         for buckets, n in ((None, WORD_BUCKETS), (self.grams, GRAM_BUCKETS)):
@@ -258,7 +268,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                 for name, v in g.items():
                     v *= min(1.0, 1.0 / max(norm, 1e-9))
                     memory[name] += v * v
-                    net.p[name] -= RATE * v / np.sqrt(memory[name] + 1e-8)
+                    net.p[name] -= (TABLE_RATE if name in ("word", "gram") else RATE) * v / np.sqrt(memory[name] + 1e-8)
         score = c.logits(net)
     h = _Corpus([texts[i] for i in held])
     net.scale, net.shift = _calibrate(worst(h.logits(net), h.owner, len(held), float(net.p["out_b"][0])), y[held])
@@ -324,8 +334,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_
     known = known.groupBy(id_col).agg(F.max("__y").alias("__y"))
     mix = F.xxhash64(F.col(f"`{id_col}`"))
     picked = known.where("__y = 1").orderBy(mix).limit(SAMPLE_POSITIVE).unionByName(known.where("__y = 0").orderBy(mix).limit(SAMPLE_NEGATIVE))
-    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__t")).where(F.length("__t") <= SAMPLE_CHARS)
-    rows = rows.join(F.broadcast(picked), id_col).groupBy(id_col, "__y").agg(F.first("__t").alias("__t")).collect()
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__t")).where("__t is not null")
+    rows = rows.join(F.broadcast(picked), id_col).groupBy(id_col, "__y").agg(F.min("__t").alias("__t"))
+    upto = F.sum(F.length("__t")).over(Window.orderBy(F.xxhash64(F.col(f"`{id_col}`"))))  # of SAMPLE_POSITIVE + SAMPLE_NEGATIVE rows at most
+    rows = rows.withColumn("__upto", upto).where(F.col("__upto") <= SAMPLE_CHARS).collect()
     rows.sort(key=lambda r: r[id_col])
     return train([r["__t"] for r in rows], [r["__y"] for r in rows])
 
