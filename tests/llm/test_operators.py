@@ -248,12 +248,14 @@ def test_toxicity_gradients():
     def loss():
         x = np.vstack([net.p["word"][f[0]], np.zeros((0, T.WIDTH))])
         grams = (net.p["gram"][f[1]] * f[2][..., None]).sum(1) / f[2].sum(1)[:, None]
-        gates = net.gates(np.vstack([np.concatenate([x, grams], 1), np.zeros((1, 2 * T.WIDTH))]))
+        peaks = np.where(f[2][..., None], net.p["gram"][f[1]], -9).max(1)
+        both = np.concatenate([x, peaks[:, : T.PEAKS], grams[:, T.PEAKS :]], 1)
+        gates = net.gates(np.vstack([both, np.zeros((1, 2 * T.WIDTH))]))
         z = net.forward(gates, at, live)
         return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
 
     g = net.gradients(*f, at, live, y)
-    for name in ("uf", "wb", "att", "out", "cf"):
+    for name in ("uf", "wb", "att", "out", "cf", "gram", "word"):
         i = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         old, eps = net.p[name][i], 1e-4
         net.p[name][i] = old + eps

@@ -90,3 +90,45 @@ def test_articles_inside_named_containers():
     assert H.extract('<article><p>a</p><section class="related-work"><p>b</p></section><div id="search-results"><p>c</p></div></article>', None) == "a\n\nb\n\nc"
     for label in ("comments", "cookie-notice", "ad_banner", "x related"):
         assert H.extract(f'<article><p>a</p></article><div class="{label}"><p>b</p><article>c</article></div>', None) == "a"
+    for label in ("reader-comments", "site-footer", "ad-slot", "user-comment-list", "cookie-bar"):
+        assert H.extract(f'<article><p>a</p><section class="{label}"><p>b</p></section></article>', None) == "a", label
+    assert H.extract('<article><p class="alert-history">a</p><div class="social-history"><p>b</p></div></article>', None) == "a\n\nb"
+    assert H.extract('<article><p>a <span class="advert">x <b>y</b></span> b <em>c</em></p><p>d <i class="ad">e</p><p>f</p></article>', None) == "a b c\n\nd\n\nf"
+
+
+def whole_alignment(template, words):
+    """The most template words in a local alignment of best score, over all cells: matches 2, anything else -1."""
+    best, row = (0, 0), [(0, 0)] * (len(words) + 1)
+    for w in template:
+        new = [(0, 0)]
+        for j, x in enumerate(words):
+            if w == x:
+                cell = (row[j][0] + 2, row[j][1] + 1)
+            else:
+                cell = max((row[j][0] - 1, row[j][1]), (row[j + 1][0] - 1, row[j + 1][1]), (new[j][0] - 1, new[j][1]))
+            new.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, new[-1])
+        row = new
+    return best[1]
+
+
+def test_licenses_as_whole_alignment_finds_them():
+    import random
+
+    rng, s = random.Random(6), licenses.Scanner()
+    for t, (name, words) in enumerate(s.templates):
+        for _ in range(2):
+            changed = [w if rng.random() > 0.06 else "other" for w in words]
+            text = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(30))] + changed + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(30))]
+            wanted = {n: max(whole_alignment(x, text) / len(x) for m, x in s.templates if m == n) for n in {n for n, _ in s.templates}}
+            found = s.scan(" ".join(text))
+            if whole_alignment(words, text) >= s.needed[t]:
+                assert [m["license"] for m in found] == [name], (name, text)
+            assert all(wanted[m["license"]] >= m["coverage"] - 1e-9 >= licenses.MIN_COVERAGE - 1e-9 for m in found)
+
+
+def test_bsd_licenses_apart():
+    s = licenses.Scanner()
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        for text in licenses.TEMPLATES[name]:
+            assert [(m["license"], m["coverage"]) for m in s.scan(f"x {text} y")] == [(name, 1.0)]
