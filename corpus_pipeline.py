@@ -1,7 +1,11 @@
 """A corpus pipeline: language, toxicity, near duplicates, benchmark contamination, then token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
-documents. Nulls, empty tables and repeated rows follow the operators' own rules.
+documents, and no others that docs may have. Texts of any length are read whole.
+
+Null, empty and letterless texts are rejected by the first stage. Null ids are kept where their texts are; in the third
+stage one row of each distinct text among them stays, and of repeated rows one. Ties there go to the smallest id. Repeated
+rows reach the later stages only if their ids differ, and each gets its own result. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -41,8 +45,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, exact): the ids, and whether decoding them gives the text's bytes again."""
     path = public_tokenizers.path(RANKS)
-    back = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
+    named = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    back = bpe.decode(bpe.encode(named, path, public_tokenizers.PATTERN, keep_text=False), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("digest")).alias("exact"))
 
 
 STAGES = [
