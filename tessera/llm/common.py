@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import pyarrow as pa
@@ -14,21 +16,45 @@ from ..sources.scratch import fresh_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes that one call of a batch function sees at most, but for a single longer row.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
+#: The paths written within each `scratch` that is open, by thread.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+def stored(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    keep: the table outlives the innermost `scratch`.
+    """
+    spark, within = df.sparkSession, _open.get()
+    within = within[:-1] if keep else within
     path = fresh_path(spark, tag)
+    if within:
+        within[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are deleted at the end, but for those to be kept; results may rest on these and the inputs only."""
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @cache
 def _allocator() -> ctypes.CDLL | None:
     """The C library, told to take large blocks from the system one by one; None where it isn't glibc."""

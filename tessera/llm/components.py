@@ -13,6 +13,10 @@ def components(edges: DataFrame) -> DataFrame:
     In each round every node points to its neighbour of least rank, if that is less than its own; edges and labels are
     mapped through the pointers. Ranks are hashes, so chains of falling ranks are short and the number of rounds grows
     with the logarithm of the number of nodes.
+
+    Edges with a null end and from a node to itself join nothing and give no node; repeated edges and both directions of one
+    count once; columns other than a and b are ignored. No edges give no rows. Rounds are written even for hubs: a node's
+    edges are combined before they meet.
     """
     rank = lambda c: F.struct(F.xxhash64(F.lit(7), c).alias("r"), c.alias("v"))
     edges = stored(edges.where("a <> b").select("a", "b").distinct(), "edges")

@@ -41,7 +41,7 @@ ROUNDS, EPOCHS, BATCH, RATE, TABLE_RATE = 2, 3, 128, 0.05, 0.2
 PRIOR = 3.0
 THRESHOLD = 0.7
 #: Words whose inputs a worker keeps.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _WORD = re.compile(r"\w{1,%d}" % WORD_CHARS)
 
 
