@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, stored, without
+from .common import ascii_lower, scratch, stored, without
 
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,11 +92,12 @@ def candidates(postings: DataFrame, wins: DataFrame, n_terms: int) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and spans (array of item, first word, words)."""
     docs = without(docs, [*OUTPUTS, "spans", "__key", "__found"])
-    items = stored(item_table(benchmark), "items")
-    terms, postings = build_index(docs, items, id_col, text_col)
-    n_terms = items.select(F.coalesce(F.sum(F.size("iwords")), F.lit(0))).first()[0]
-    found = candidates(postings, stored(windows_of(items, terms, window), "windows"), n_terms)
-    found = stored(found.groupBy("key").agg(F.collect_list(F.struct("id", "base", "iwords", "delta", "wins")).alias("__found")), "candidates")
+    with scratch(docs.sparkSession):
+        items = stored(item_table(benchmark), "items")
+        terms, postings = build_index(docs, items, id_col, text_col)
+        n_terms = items.select(F.coalesce(F.sum(F.size("iwords")), F.lit(0))).first()[0]
+        found = candidates(postings, stored(windows_of(items, terms, window), "windows"), n_terms)
+        found = stored(found.groupBy("key").agg(F.collect_list(F.struct("id", "base", "iwords", "delta", "wins")).alias("__found")), "candidates", keep=True)
     words = F.aggregate("__found", F.lit(0), lambda n, f: n + F.size(f["iwords"]))
     size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(words), F.lit(0)).alias("words")).first()
     found = _small(found, size["n"], BROADCAST_CANDIDATES if size["words"] <= BROADCAST_CANDIDATE_WORDS else -1)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
 from ..sources.scratch import fresh_path
-from .common import give_back, map_columns, stored
+from .common import give_back, map_columns, scratch, stored
 from .pieces import Encode, encode_texts
 
 MAX_LENGTH = 16
@@ -198,6 +198,13 @@ def write(docs: DataFrame, path: str, end_id: int, vocab: int, folder: str | Non
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "ids")
+    with scratch(spark):
+        _write(docs, path, end_id, vocab, folder, id_col, text_col, block_ids)
+    return folder
+
+
+def _write(docs: DataFrame, path: str, end_id: int, vocab: int, folder: str, id_col: str, text_col: str, block_ids: int) -> None:
+    spark = docs.sparkSession
     tokens = stored(tokenize(docs, path, end_id, vocab, id_col, text_col), "tokens")
     dtype = id_type(vocab)
 
@@ -242,7 +249,6 @@ def write(docs: DataFrame, path: str, end_id: int, vocab: int, folder: str | Non
     ordered.mapInArrow(encode, _BLOCKS).write.option("compression", "none").mode("overwrite").parquet(f"{folder}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.mode("overwrite").parquet(f"{folder}/codebook")
     shared.unpersist()
-    return folder
 
 
 _BLOCKS = "part int, seq long, before long, n long, block binary"

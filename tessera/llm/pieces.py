@@ -219,13 +219,13 @@ def _encoded(make: Callable[[], Encode]):
     return run
 
 
-_SCANS = re.compile(r"[\s:|+\-]*(?:\(\d+\) )?(?:Project|Filter|Relation|LogicalRDD|LocalRelation|Range|SubqueryAlias|GlobalLimit|LocalLimit)\b")
+_SCANS = re.compile(r"[\s:|+\-]*(?:\(\d+\) )?(?:Project|Filter|Relation|LocalRelation|Range)\b")
 
 
 def _comes_alike(docs: DataFrame) -> bool:
     """The rows come in the same order whenever they are read: a scan, filtered or projected."""
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    return all(_SCANS.match(line) and "Limit" not in line for line in plan.splitlines() if line.strip())
+    return all(_SCANS.match(line) for line in plan.splitlines() if line.strip())
 
 
 def encode_texts(docs: DataFrame, text_col: str, make: Callable[[], Encode], outputs: list[StructField], pack: Callable[[np.ndarray, np.ndarray], list[pa.Array]], keep_text: bool = True) -> DataFrame:

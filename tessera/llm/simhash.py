@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
-from .common import map_columns, stored, without
+from .common import map_columns, scratch, stored, without
 from .components import components
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -137,14 +137,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """docs with fingerprint (16 hex digits) and component_id, the smallest id among the documents linked to it by any chain."""
     docs = without(docs, ["fingerprint", "component_id", "__v"])
     marked = stored(with_fingerprints(docs, text_col, shingle, "__v", keep_text), "fingerprints")
+    with scratch(docs.sparkSession):
+        named = stored(_named(marked, id_col, bits), "classes", keep=True)
+    digits = F.lower(F.lpad(F.hex("__v"), 16, "0"))
+    return marked.join(named, "__v").select(*(F.col(f"`{c}`") for c in marked.columns if c != "__v"), digits.alias("fingerprint"), "component_id")
+
+
+def _named(marked: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """(__v, component_id) of each fingerprint."""
     prints = stored(marked.groupBy(F.col("__v").alias("v")).agg(F.min(F.col(f"`{id_col}`")).alias("least")), "distinct")
     rooted = components(near_pairs(prints.select("v"), bits))
     placed = prints.join(rooted.withColumnRenamed("node", "v"), "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
     linked = placed.join(rooted.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root", "left").select(F.col("v").alias("__v"), F.coalesce("component_id", "least").alias("component_id"))
-    digits = F.lower(F.lpad(F.hex("__v"), 16, "0"))
-    return marked.join(stored(named, "classes"), "__v").select(*(F.col(f"`{c}`") for c in marked.columns if c != "__v"), digits.alias("fingerprint"), "component_id")
+    return placed.join(least, "root", "left").select(F.col("v").alias("__v"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:

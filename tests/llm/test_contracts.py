@@ -148,6 +148,42 @@ def test_crowded_cells_of_one_bit(spark):
         assert components(S.near_pairs(df, limit=limit)).select("root").distinct().count() == 1
 
 
+def test_components_of_odd_edges(spark):
+    from tessera.llm.components import components
+
+    chain = [(i, i + 1, "x") for i in range(100, 140)]
+    edges = [(1, 2, "x"), (2, 1, "x"), (1, 2, "y"), (3, 3, "x"), (None, 4, "x"), (5, None, None), *chain, *((50, k, "hub") for k in range(51, 90))]
+    df = spark.createDataFrame(edges, "a long, b long, root string")
+    groups = {}
+    for r in components(df).collect():
+        groups.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [[1, 2], list(range(50, 90)), list(range(100, 141))]
+    assert components(df.limit(0)).collect() == []
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from tessera.llm import common, near_copies
+
+    paths = []
+    real = common.fresh_path
+    common.fresh_path = lambda *a: paths.append(real(*a)) or paths[-1]
+    try:
+        docs = spark.createDataFrame([(i, f"some words of text number {i // 2} here") for i in range(20)], "doc_id long, text string")
+        kept = near_copies.one_of_each(docs)
+        assert len(paths) > 5 and [os.path.basename(x) for x in paths if os.path.exists(x)] == ["kept"] and kept.count() == 10
+        with pytest.raises(ZeroDivisionError), common.scratch(spark):
+            common.stored(docs, "inner")
+            with common.scratch(spark):
+                outer = common.stored(docs, "outer", keep=True)
+            assert outer.count() == 20
+            raise ZeroDivisionError
+        assert [os.path.basename(x) for x in paths if os.path.exists(x)] == ["kept"]
+    finally:
+        common.fresh_path = real
+
+
 def test_wrapper_decides_what_is_the_same_on_all_pages():
     import json
 

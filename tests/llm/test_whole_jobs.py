@@ -50,8 +50,9 @@ def test_many_slices_and_buckets(spark, monkeypatch):
     for docs in (df, df.unionByName(df), df.repartition(3, "i"), df.orderBy("text").limit(150)):  # equal slices, and rows that come in any order
         rows = bpe.encode(docs, path, P.PATTERN).collect()
         assert len(rows) == docs.count() and all(r["ids"] == library.encode_ordinary(r["text"] or "") for r in rows)
-    assert pieces._comes_alike(df.select("text")) and not pieces._comes_alike(df.repartition(3, "i")) and not pieces._comes_alike(df.limit(3))
-    assert pieces._comes_alike(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id > 3").select("text"))
+    scan = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id > 3").select("text", "doc_id")
+    assert pieces._comes_alike(scan) and pieces._comes_alike(spark.range(9).where("id > 3"))
+    assert not any(map(pieces._comes_alike, (scan.repartition(3, "doc_id"), scan.limit(3), scan.distinct(), scan.unionByName(scan), scan.join(scan.select("doc_id"), "doc_id"))))
     assert [r["ids"] for r in bpe.encode(spark.createDataFrame([("a b",)], "text string"), path, P.PATTERN, keep_text=False).collect()] == [library.encode_ordinary("a b")]
 
 
