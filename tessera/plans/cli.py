@@ -37,7 +37,7 @@ def search(spark: SparkSession, args: argparse.Namespace, lines: Iterable[str])
         marked = rows.select("total", *(inverted.highlight(F.col(c), words).alias(c) for c in ("title", "description"))).collect()  # k rows
         for r in marked:
             yield f"{r['title']}\n{r['description']}\n"
-        yield f"{marked[0]['total'] if marked else 0} documents"
+        yield f"{marked[0]['total'] if marked else 0:,} documents"
 
 
 def run_sparql(spark: SparkSession, args: argparse.Namespace, lines: Iterable[str]) -> Iterator[str]:
@@ -50,7 +50,7 @@ def run_sparql(spark: SparkSession, args: argparse.Namespace, lines: Iterable[st
     began = time.perf_counter()
     rows = sparql.run(readers.triples_tsv(spark, args.triples), parsed).cache()
     yield writers.shown(rows)
-    yield f"{rows.count()} rows in {time.perf_counter() - began:.2f} s"
+    yield f"{rows.count():,} rows in {time.perf_counter() - began:.2f} s"
 
 
 def run_fuzzy(spark: SparkSession, args: argparse.Namespace, lines: Iterable[str]) -> Iterator[str]:
