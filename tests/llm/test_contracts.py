@@ -190,3 +190,27 @@ def test_wrapper_decides_what_is_the_same_on_all_pages():
     pages = [f"<div>Welcome to our site</div><div><p>Story {k} of the day</p></div><div>All rights reserved</div>" for k in "abcd"]
     wrapper = H.loaded(json.dumps(H.infer(pages)))
     assert H.extract(pages[2], wrapper) == "Story c of the day" != H.extract(pages[2], None)
+
+
+BROKEN = """<html><body><nav><ul><li><a href="/">Menu %s</a></li><li>More</li></ul></nav><div class="ad">Buy %s</div><article><h1>Head %s</h1><p>One %s<p>Two</p></article><aside><p>Side</p></aside><footer>Foot</footer></body></html>"""
+
+
+def test_wrapper_mends_pages_without_end_tags():
+    """Its own tags put the article inside the menu; the host's wrapper knows better."""
+    import json
+
+    wrapper = H.loaded(json.dumps(H.infer([BROKEN % ((k,) * 4) for k in "abc"])))
+    whole = BROKEN % (("x",) * 4)
+    want = "Head x\n\nOne x\n\nTwo"
+    assert H.extract(whole, wrapper) == H.extract(whole, None) == want
+    for gone in ("</nav>", "</div>", "</ul></nav>", "</article>", "</nav></div>", "</body></html>", "</aside>"):
+        page = whole
+        for tag in gone.replace("><", "> <").split():
+            page = page.replace(tag, "")
+        assert H.extract(page, wrapper) == want, gone
+    assert H.extract(whole.replace("</nav>", ""), None) == ""
+    # more paragraphs and menu entries than any sampled page has, and a page that the wrapper doesn't know
+    longer = whole.replace("</nav>", "").replace("<li>More", "<li>Even<li>More").replace("<p>Two", "<p>Three<p>Four<p>Two")
+    assert H.extract(longer, wrapper) == "Head x\n\nOne x\n\nThree\n\nFour\n\nTwo"
+    assert H.extract("<main><table><tr><td>Other</td></tr></table></main><nav>m</nav>", wrapper) == "Other"
+    assert H.extract("", wrapper) == H.extract("<p", wrapper) == ""
