@@ -230,23 +230,25 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
 def _dealt(parts: int):
     """Prefixes as (part, chunk, cells): the cells of a chunk of rows that fall into a part, packed by `packed`."""
 
+    def one(piece: pa.RecordBatch) -> pa.RecordBatch:
+        prefixes = piece.column("prefix").to_pylist()
+        cells, sizes = cells_of(b"".join(prefixes)), np.array([len(x) // CELL_BYTES for x in prefixes], np.int64)
+        rows = np.repeat(piece.column("row").to_numpy(), sizes)
+        at = np.arange(len(cells)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        step = (at * 256 // np.repeat(sizes, sizes)).astype(np.uint8)
+        scale = np.repeat(size_class(piece.column("size").to_numpy()), sizes)
+        order = np.lexsort((cells, rows >> 16))
+        cells, rows, step, scale = (x[order] for x in (cells, rows, step, scale))
+        part, chunk = cells * parts >> 8 * CELL_BYTES, rows >> 16
+        starts = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(chunk) != 0)])
+        made = [packed(cells[i:j], rows[i:j], step[i:j], scale[i:j]) for i, j in zip(starts, [*starts[1:], len(cells)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), pa.array(chunk[starts], pa.int64()), pa.array(made, pa.binary())], names=["part", "chunk", "cells"])
+
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, 1):
-                cells = cells_of(b"".join(piece.column("prefix").to_pylist()))
-                sizes = np.array([len(x) // CELL_BYTES for x in piece.column("prefix").to_pylist()], np.int64)
-                rows = np.repeat(piece.column("row").to_numpy(), sizes)
-                at = np.arange(len(cells)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                step = (at * 256 // np.repeat(sizes, sizes)).astype(np.uint8)
-                scale = np.repeat(size_class(piece.column("size").to_numpy()), sizes)
-                part, chunk = cells * parts >> 8 * CELL_BYTES, rows >> 16
-                order = np.lexsort((cells, part, chunk))
-                cells, rows, step, scale, part, chunk = (x[order] for x in (cells, rows, step, scale, part, chunk))
-                ends = np.flatnonzero(np.r_[(np.diff(part) != 0) | (np.diff(chunk) != 0), True]) + 1 if len(cells) else []
-                starts = np.r_[0, ends[:-1]] if len(cells) else []
-                made = [packed(cells[i:j], rows[i:j], step[i:j], scale[i:j]) for i, j in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), pa.array(chunk[starts], pa.int64()), pa.array(made, pa.binary())], names=["part", "chunk", "cells"])
-        give_back()
+            yield from map(one, slices(batch, 1, 1 << 20))
+            del batch
+            give_back()
 
     return run
 
