@@ -223,7 +223,7 @@ def row_predicate(spark, d):
 def equal_columns_after_join(spark, d):
     customer = t(spark, d, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 10).alias("m"))
     supplier = t(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 10).alias("m"))
-    joined = rel.with_unique_names(rel.join(customer, supplier, 1, 1))
+    joined = rel.with_unique_names(rel.join_many(customer, supplier, 1, 1))
     return rel.project(rel.select(joined, rel.column(joined, 2) == rel.column(joined, 5)), [0, 3])
 
 
