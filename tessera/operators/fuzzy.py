@@ -5,6 +5,7 @@ names(syn_id, ent_id, name, norm_name): one row for each name of an entity; qgra
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tokens import normalize, prefix_distance, qgrams
 
+#: Characters of names, as many q-grams, that a task of qgram_postings counts, about.
+CHARS_A_TASK = 500_000
+
 
 def normalized(query: str) -> str:
     return re.sub(r"\W+", "", query).lower()
@@ -48,7 +52,11 @@ def _running(sizes: DataFrame, block: int = 1 << 16) -> DataFrame:
 
 
 def qgram_postings(names: DataFrame, q: int = 3) -> DataFrame:
-    return names.select(F.explode(qgrams(F.col("norm_name"), q)).alias("qgram"), "syn_id").groupBy("qgram", "syn_id").agg(F.count(F.lit(1)).alias("freq"))
+    """(qgram, syn_id, freq). The names are dealt out by syn_id, in parts by their characters, and their q-grams counted there:
+    by bytes a task would get so many names that their q-grams outgrow it."""
+    chars = names.agg(F.sum(F.length("norm_name"))).first()[0] or 0  # type: ignore[index]
+    dealt = names.select("norm_name", "syn_id").repartition(max(1, math.ceil(chars / CHARS_A_TASK)), "syn_id")
+    return dealt.select(F.explode(qgrams(F.col("norm_name"), q)).alias("qgram"), "syn_id").groupBy("qgram", "syn_id").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def candidates(postings: DataFrame, prefix: str, q: int = 3) -> DataFrame:
