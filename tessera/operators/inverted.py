@@ -1,7 +1,7 @@
 """Inverted indexes and keyword search.
 
 postings(term, doc_id, tf, score) is both the inverted lists and the sparse term-document matrix. Query sides are small and
-broadcast; the corpus is shuffled once by (term, doc_id) to build the index, with counts combined before the shuffle.
+broadcast; the index is built by one shuffle of its counts, which are combined before it.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.tokens import keywords
 
@@ -54,6 +54,14 @@ def term_frequencies(docs: DataFrame, text: Column, doc_id: str = "doc_id") -> D
     return docs.select(F.explode(keywords(text)).alias("term"), F.col(doc_id).alias("doc_id")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _counted(tokens: Column) -> Column:
+    """[(term, tf)] of an array of tokens, then a null term: the runs of the sorted tokens, linear after the sort."""
+    # a place outside the array is null, so the first token and the end differ from what is before them; lambdas bind what is made once
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(at, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.get(at, n + 1) - i).cast("long").alias("tf")))
+    return F.transform(F.array(F.sort_array(tokens)), lambda s: F.transform(F.array(starts(s)), lambda at: runs(s, at))[0])[0]
+
+
 def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -68,10 +76,19 @@ def _weight(tf: Column, alpha: Column, k: float) -> Column:
 def bm25_postings(docs: DataFrame, text: Column, doc_id: str = "doc_id", b: float = 0.75, k: float = 1.75, terms: list[str] | None = None) -> DataFrame:
     """(term, doc_id, tf, score). With terms, only their postings are made; the figures are those of the whole corpus.
 
-    The documents are read once: beside its terms each one enters the counts under the empty term, whose rows give the
-    number and the mean length of documents.
+    Without terms the documents are counted first. Where no id repeats, a document's terms are counted in its row, and their
+    postings are shuffled once, by term. Otherwise the documents are read once: beside its terms each one enters the counts
+    under the empty term, whose rows give the number and the mean length of documents.
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), keywords(text).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("dl"))
+    if terms is None:
+        dl = F.col("dl") if b and k else F.lit(0)  # lengths don't enter otherwise, so texts aren't read for them
+        ids = sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(dl).alias("dl"))
+        most, n, total = ids.agg(F.max("rows"), F.sum("rows"), F.sum("dl")).first()  # type: ignore[misc]
+        if (most or 0) <= 1:
+            tf = sized.select("doc_id", "dl", F.explode(_counted(F.col("tokens"))).alias("one")).select("one.term", "doc_id", "one.tf", "dl").where("term is not null")
+            found = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+            return _scored(found.withColumns({"n": F.lit(n or 0), "avdl": F.lit((total or 0) / (n or 1))}), b, k)
     tokens = "tokens"
     if terms is not None:
         wanted = F.array(*(F.lit(t) for t in sorted(set(terms)))) if terms else F.array().cast("array<string>")
@@ -82,9 +99,13 @@ def bm25_postings(docs: DataFrame, text: Column, doc_id: str = "doc_id", b: floa
     is_term, rows = F.col("tf") + F.length("term") > F.col("tf"), F.coalesce(F.sum(F.when(F.col("tf") > 0, 1)), F.lit(0))
     corpus = tf.where(~is_term).agg(rows.alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avdl"))
     df = tf.where(is_term).groupBy("term").agg(rows.alias("df"))
-    joined = tf.where(is_term).join(df, "term").crossJoin(F.broadcast(corpus))  # corpus is one row
-    alpha = 1 - b + b * F.col("dl") / F.col("avdl")
-    return joined.select("term", "doc_id", "tf", (_weight(F.col("tf"), alpha, k) * F.log2(F.col("n") / F.col("df"))).alias("score"))
+    return _scored(tf.where(is_term).join(df, "term").crossJoin(F.broadcast(corpus)), b, k)  # corpus is one row
+
+
+def _scored(counts: DataFrame, b: float, k: float) -> DataFrame:
+    """(term, doc_id, tf, score) of counts(term, doc_id, tf, dl, df, n, avdl)."""
+    alpha = 1 - b + b * F.col("dl") / F.col("avdl") if b and k else F.lit(1.0)
+    return counts.select("term", "doc_id", "tf", (_weight(F.col("tf"), alpha, k) * F.log2(F.col("n") / F.col("df"))).alias("score"))
 
 
 def query_terms(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
